@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("quality", "packing", "mixing")
+_MODULES = ("order_minhash", "quality", "packing", "licenses", "mixing")
 
 
 def queries() -> dict:
