@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WordHasher, mix64, pieces, table, text_key, utf8_buffer
+from quillon.llm.common import WordHasher, cut, mix64, pieces, table, text_key, utf8_buffer
 
 WINDOW = 35
 PAIR_ROUNDS = 4
@@ -327,6 +327,7 @@ def strip_repeats(docs: DataFrame, width: int = WINDOW, digest: bool = False) ->
         F.collect_list(F.when(F.col("settled"), F.struct("i1", "i2"))).alias("settled"),
         F.collect_list(F.when(F.col("compare"), F.struct("i1", "i2", "s", F.when(F.col("settled"), 2).otherwise(1).alias("n")))).alias("open"),
     )
+    found = cut(found)
     dealt = keyed.repartition("k1", "k2")  # the texts are dealt once for both joins
     open_rows = found.where(F.size("open") > 0).select("k1", "k2", "open")
     compared = _window_rows(dealt.join(open_rows, ["k1", "k2"]), width)
