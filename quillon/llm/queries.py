@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("html", "order_minhash", "ngram_join", "recompression", "quality", "packing", "licenses", "embeddings", "mixing")
+_MODULES = ("html", "order_minhash", "ngram_join", "recompression", "toxicity", "quality", "packing", "licenses", "embeddings", "mixing")
 
 
 def queries() -> dict:

@@ -256,9 +256,9 @@ def _window_rows(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "k1 long, k2 long, s long, w long, i int, n int")
 
 
-def _stripped(docs: DataFrame, width: int, digest: bool) -> DataFrame:
+def _stripped(docs: DataFrame, width: int, digest: bool, keep_text: bool) -> DataFrame:
     """n_words, n_removed and the kept words (or their sha256) of rows with `covered`, ranges of repeated windows."""
-    keep = [c for c in docs.columns if c not in ("text", "covered", "k1", "k2")]
+    keep = [c for c in docs.columns if c not in ("covered", "k1", "k2") and (keep_text or c != "text")]
     out = "kept_sha256" if digest else "kept"
     schema = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias(out)).schema
 
@@ -307,8 +307,8 @@ def _stripped(docs: DataFrame, width: int, digest: bool) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def strip_repeats(docs: DataFrame, width: int = WINDOW, digest: bool = False) -> DataFrame:
-    """docs without text, with n_words, n_removed, and kept: the words left, joined by one space (or kept_sha256).
+def strip_repeats(docs: DataFrame, width: int = WINDOW, digest: bool = False, keep_text: bool = False) -> DataFrame:
+    """docs without text (unless keep_text), with n_words, n_removed, and kept: the words left, joined by one space (or kept_sha256).
 
     Words are those of common.WORD_PATTERN. Every window is judged on the
     input, and all of its occurrences go.
@@ -336,7 +336,7 @@ def strip_repeats(docs: DataFrame, width: int = WINDOW, digest: bool = False) ->
     single = F.transform("hits", lambda i: F.struct(i.alias("i1"), i.alias("i2")))
     ranges = found.select("k1", "k2", "settled").join(hit, ["k1", "k2"], "left")
     ranges = ranges.select("k1", "k2", F.concat("settled", F.coalesce(single, F.array().cast("array<struct<i1:int,i2:int>>"))).alias("covered"))
-    return _stripped(dealt.join(ranges, ["k1", "k2"], "left"), width, digest)
+    return _stripped(dealt.join(ranges, ["k1", "k2"], "left"), width, digest, keep_text)
 
 
 def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
