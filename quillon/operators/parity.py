@@ -140,6 +140,6 @@ def recover_two_symbols(hashes: DataFrame, parity: DataFrame, damaged: DataFrame
     at = at.withColumn("a", F.explode(F.sequence(F.lit(1), F.col("count").cast("int") - 1)))
     at = at.withColumn("b", F.explode(F.sequence(F.col("a") + 1, F.col("count").cast("int"))))
     ea, eb = solve_two(F.col("_p"), F.col("_q"), F.col("a"), F.col("b"))
-    at = at.withColumns({"_ea": ea, "_eb": eb})
-    fix = F.transform("part", lambda x, i: F.when(i + 1 == F.col("a"), x.bitwiseXOR(F.col("_ea"))).when(i + 1 == F.col("b"), x.bitwiseXOR(F.col("_eb"))).otherwise(x))
-    return _unique(at.select(key, "block", "hash", fix.alias("repaired")), key)
+    at = at.withColumn("_e", F.explode(F.array(F.struct(ea.alias("a"), eb.alias("b")))))  # a row, worked out once
+    fix = F.transform("part", lambda x, i: F.when(i + 1 == F.col("a"), x.bitwiseXOR(F.col("_e.a"))).when(i + 1 == F.col("b"), x.bitwiseXOR(F.col("_e.b"))).otherwise(x))
+    return _unique(at.select(key, "block", "hash", F.explode(F.array(fix)).alias("repaired")), key)
