@@ -45,4 +45,4 @@ def to_trail(z: Column) -> Column:
 def from_trail(trail: Column) -> Column:
     """A symbol string of an array of ids."""
     code = lambda s: F.when(s < _GAP_AT, s).otherwise(s + _GAP)
-    return F.array_join(F.transform(trail, lambda s: F.decode(F.unhex(F.lpad(F.hex(code(s)), 8, "0")), "UTF-32BE")), "")
+    return F.array_join(F.transform(trail, lambda s: F.decode(F.unhex(F.lpad(F.hex(code(s)), 8, "0")), "UTF-32")), "")
