@@ -21,8 +21,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the ranking scores below its threshold go."""
     labels = table(spark, sf_dir, "labels").where(~F.coalesce(quality.held_out(0, 5), F.lit(False)))
     ranking = quality.learn(docs, labels)
-    scored = quality.rate(docs, ranking, "_score")
-    return scored.where(F.col("_score") >= quality.REJECT_BELOW).drop("_score")
+    score = "_score"
+    while score in docs.columns:
+        score += "_"
+    scored = quality.rate(docs, ranking, score)
+    return scored.where(F.col(score) >= quality.REJECT_BELOW).drop(score)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +40,11 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     kept = recompression.strip_repeats(docs, keep_text=True)
     changed = F.col("n_removed") > 0
-    out = kept.where(~changed | (F.col("kept") != ""))
-    out = out.withColumn("text", F.when(changed, F.col("kept")).otherwise(F.col("text")))
+    kept = kept.where(~changed | (F.col("kept") != ""))
+    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return kept.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

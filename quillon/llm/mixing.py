@@ -100,17 +100,19 @@ def plan_blocks(blocks: list[tuple], targets: dict, shards: int, seed: int) -> l
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
-    """docs with _size, _source_size, _target, _row (hash) and _shards, the shards that take a copy of the row.
+    """A row (struct of docs' columns) with _size, _source_size, _target, _row (hash) and _shards, which take a copy of it each.
 
     The driver holds one row per source and at most `blocks` + one per source
     for the blocks; both bounds are independent of the rows. Sources are taken
     by code point, null last, with `weights` repeated over them.
     """
     spark = docs.sparkSession
-    sized = docs.withColumns({
-        "_size": F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long"),
-        "_row": text_key(F.col("doc_id"), F.col("source"), F.col("text")),
-    })
+    sized = docs.select(
+        F.struct("*").alias("row"),
+        "source",
+        F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("_size"),
+        text_key(F.col("doc_id"), F.col("source"), F.col("text")).alias("_row"),
+    )
     slim = cut(sized.select("source", "_size", "_row"))
     sources = slim.groupBy("source").agg(F.sum("_size").alias("size"), F.count("*").alias("n")).collect()
     sources.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be")))
@@ -137,7 +139,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     out = placed(sized).join(F.broadcast(plan), ["_s", "_block"], "left")
     partial = F.when(F.xxhash64("_row", F.lit(5)) <= F.col("_h"), F.array("_part_shard")).otherwise(F.array().cast("array<int>"))
     out = out.withColumn("_shards", F.coalesce(F.concat("_whole", partial), F.array().cast("array<int>")))
-    return out.drop("_s", "_block", "_blocks", "_whole", "_part", "_part_shard", "_h")
+    return out.select("row", "_size", "_source_size", "_target", "_row", "_shards")
 
 
 def shuffled(docs: DataFrame, **options) -> DataFrame:
@@ -145,13 +147,13 @@ def shuffled(docs: DataFrame, **options) -> DataFrame:
     out = mix(docs, **options).select("*", F.posexplode("_shards").alias("_copy", "_shard"))
     salt = F.xxhash64("_row", "_copy", F.lit(SEED))
     out = out.repartition("_shard", F.pmod(salt, F.lit(16))).sortWithinPartitions("_shard", salt)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
     return out.select(
-        "doc_id",
+        "row.doc_id",
         F.col("_size").alias("size"),
         F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"),

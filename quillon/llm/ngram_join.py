@@ -281,13 +281,11 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     again = found.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
     kept = cut(kept.join(again.withColumn("again", F.lit(True)), ["k1", "k2"], "left"))
     side, _ = small_side(kept, BROADCAST_ROWS)
-    key = {"k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "k2": text_key(F.col("doc_id"), F.col("text"))}
-    rows = docs.withColumns({"_" + k: v for k, v in key.items()}).join(side.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), ["_k1", "_k2"])
-    if again.isEmpty():
-        out = rows
-    else:  # rows that are repeated whole
-        out = rows.where("again IS NULL").union(rows.where("again").dropDuplicates(["_k1", "_k2"]))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    k1, k2 = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), text_key(F.col("doc_id"), F.col("text"))
+    rows = docs.select(F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2")).join(side, ["k1", "k2"])
+    if not again.isEmpty():  # rows that are repeated whole
+        rows = rows.where("again IS NULL").union(rows.where("again").dropDuplicates(["k1", "k2"]))
+    return rows.select("row.*")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,7 +98,7 @@ def with_next(rows: DataFrame, order: str, carried: list[str], rows_per_bucket:
     that tie in `order` follow each other by a hash of what they carry.
     """
     place = F.coalesce(F.col(order).cast("long"), F.lit(-(2**63)))
-    tie = F.xxhash64(*[c for x in carried if x == carried[0] for c in (F.col(x).isNull(), F.col(x))])
+    tie = F.xxhash64(F.col(carried[0]).isNull(), F.col(carried[0]))
     ids = cut(rows.select(place.alias("_place"), tie.alias("_tie")))
     n = ids.count()
     buckets = max(1, min(4096, n // rows_per_bucket))
@@ -118,14 +118,15 @@ def with_next(rows: DataFrame, order: str, carried: list[str], rows_per_bucket:
     firsts = sorted(firsts.select("_bucket", "f._place", "f._tie").collect(), reverse=True)  # a row per bucket, at most 4096
     guests = [(f._place, f._tie, firsts[i - 1]._bucket) for i, f in enumerate(firsts)]
     guests = rows.sparkSession.createDataFrame(guests, "_place long, _tie long, _host int").hint("broadcast")
-    keyed = rows.withColumns({"_place": place, "_tie": tie}).withColumn("_bucket", bucket)
+    keyed = rows.select(F.struct("*").alias("row"), place.alias("_place"), tie.alias("_tie")).withColumn("_bucket", bucket)
     dealt = keyed.join(guests, ["_place", "_tie"], "left")
     own = F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("g"))
     guest = F.struct(F.col("_host").alias("b"), F.lit(True).alias("g"))
     dealt = dealt.withColumn("_to", F.explode(F.when(F.col("_host").isNull(), F.array(own)).otherwise(F.array(own, guest))))
     w = Window.partitionBy("_to.b").orderBy("_to.g", F.desc("_place"), "_tie")
-    out = dealt.withColumns({prefix + c: F.lead(c).over(w) for c in carried}).where("NOT _to.g")
-    return out.drop("_place", "_tie", "_bucket", "_host", "_to")
+    out = dealt.select("row", "_to", *[F.lead(F.col("row")[c]).over(w).alias(prefix + c) for c in carried]).where("NOT _to.g")
+    own_columns = [F.col("row")[c].alias(c) for c in rows.columns if c not in {prefix + x for x in carried}]
+    return out.select(*own_columns, *[prefix + c for c in carried])
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

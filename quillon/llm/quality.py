@@ -180,8 +180,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 
 
 def rate(docs: DataFrame, ranking: Ranking, column: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """docs, or its columns `keep`, with a score of the whole text of every row; no shuffle."""
-    keep = docs.columns if keep is None else keep
+    """docs, or its columns `keep`, with a score of the whole text of every row; no shuffle. A column of that name is replaced."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != column]
     schema = StructType([*[docs.schema[c] for c in keep], StructField(column, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

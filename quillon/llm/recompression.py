@@ -308,13 +308,15 @@ def _stripped(docs: DataFrame, width: int, digest: bool, keep_text: bool) -> Dat
 
 
 def strip_repeats(docs: DataFrame, width: int = WINDOW, digest: bool = False, keep_text: bool = False) -> DataFrame:
-    """docs without text (unless keep_text), with n_words, n_removed, and kept: the words left, joined by one space (or kept_sha256).
+    """(row, n_words, n_removed, kept): docs' other columns as a struct, and the words left, joined by one space (or kept_sha256); with keep_text also text.
 
     Words are those of common.WORD_PATTERN. Every window is judged on the
     input, and all of its occurrences go.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "k2": text_key(F.col("doc_id"), F.col("text"))}).withColumn("text", text)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    k1, k2 = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), text_key(F.col("doc_id"), F.col("text"))
+    keyed = docs.select(row.alias("row"), k1.alias("k1"), k2.alias("k2"), text.alias("text"))
     # One shuffle by anchor: spans that occur twice, and whether some span of an anchor does not.
     by_anchor = Window.partitionBy("s")
     counted = count_spans(keyed, width).repartition("s").groupBy("s", "u").agg(F.sum("c").alias("c"), F.min("r").alias("r"))
@@ -341,4 +343,4 @@ def strip_repeats(docs: DataFrame, width: int = WINDOW, digest: bool = False, ke
 
 def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return strip_repeats(docs, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return strip_repeats(docs, digest=True).select("row.doc_id", "n_words", "n_removed", "kept_sha256")

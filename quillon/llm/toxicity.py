@@ -25,9 +25,11 @@ from quillon.llm.common import WordHasher, pieces, table, utf8_buffer
 from quillon.llm.quality import held_out
 
 WIDTH, STRIDE = 16, 8
-WORD_ROWS, GRAM_ROWS, EMBED, HIDDEN = 1 << 13, 1 << 13, 10, 8
-#: Labelled rows that the network is trained on, at most, in hashed order and half of each label.
-LABELLED_ROWS = 4_000
+WORD_ROWS, GRAM_ROWS, EMBED, HIDDEN = 1 << 16, 1 << 14, 10, 8
+#: Labelled rows that the network is trained on, at most, in hashed order and a third of them toxic.
+LABELLED_ROWS = 6_000
+#: How much more an error on a clean text weighs when the threshold is set.
+CLEAN_WEIGHS = 3
 TOXIC_FROM = 0.7
 PIECE_BYTES = 1 << 19
 BATCH = 4096
@@ -185,21 +187,64 @@ class Network:
         return _sigmoid(np.clip(self.scale * np.maximum(logit, -50) + self.shift, -40, 40))
 
 
-def train(texts: list[str], label: np.ndarray, epochs: int = 14, warm: int = 3, seed: int = 9) -> Network:
-    """Fit by Adam. The first `warm` passes take windows at random, the others each text's worst, and one at random of clean texts."""
+def evidence(item: np.ndarray, text: np.ndarray, label: np.ndarray, rows: int) -> np.ndarray:
+    """Log-odds of the toxic label for each table row, by the texts that hold it, shrunk where they are few."""
+    seen = np.unique(item.astype(np.int64) * len(label) + text)
+    of, where = seen // len(label), seen % len(label)
+    toxic = np.bincount(of, weights=label[where], minlength=rows)
+    clean = np.bincount(of, minlength=rows) - toxic
+    n1, n0 = max(label.sum(), 1), max((1 - label).sum(), 1)
+    p1, p0 = (toxic + 0.5) / (n1 + 1), (clean + 0.5) / (n0 + 1)
+    sd = np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+    odds = np.log(p1 / p0)
+    return np.where(np.abs(odds) > 2 * sd, np.clip(odds, -3, 3), 0.0)
+
+
+def train(texts: list[str], label: np.ndarray, epochs: int = 11, warm: int = 3, seed: int = 9) -> Network:
+    """Fit by Adam.
+
+    The first coordinate of each embedding starts from the log-odds of its
+    word or trigram, and the first `warm` passes take each text's window with
+    the most of that; the others take the window that the network rates worst.
+    Each pass also takes windows at random from clean texts. The labels weigh
+    alike, however many rows have each.
+    """
     net = Network()
     if not len(label) or len(set(label.tolist())) < 2:
         return net
     raw, offsets = utf8_buffer(pa.array(texts, pa.large_string()))
     rows, gram, bounds, number, first = Words()(raw, offsets)
     at, text = windows_of(first)
+    if not len(text):
+        return net
     idx = np.where(at >= 0, number[np.maximum(at, 0)], -1)
     rng = np.random.Generator(np.random.PCG64(seed))
     own = np.unique(text)
     begin = np.searchsorted(text, own)
     size = np.diff(np.append(begin, len(text)))
-    check = rng.random(len(own)) < 0.2  # set aside to scale the ratings
     y = label[own].astype(np.float32)
+    if len(set(y.tolist())) < 2:
+        return net
+    check = np.zeros(len(own), bool)  # set aside to scale the ratings
+    for k in (0, 1):
+        check[rng.permutation(np.flatnonzero(y == k))[: int((y == k).sum() * 0.2)]] = True
+    heavy = float(np.clip((~check & (y == 0)).sum() / max((~check & (y == 1)).sum(), 1), 0.2, 20))
+    # Log-odds from the texts that are fitted.
+    fitted = np.zeros(len(label), bool)
+    fitted[own[~check]] = True
+    word_text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    pair = np.unique(number * len(label) + word_text)  # distinct words of each text
+    word, of = pair // len(label), pair % len(label)
+    word, of = word[fitted[of]], of[fitted[of]]
+    kept = np.cumsum(fitted) - 1
+    odds_word = evidence(rows[word], kept[of], label[fitted], WORD_ROWS)
+    n_gram = np.diff(bounds)[word]
+    inner = np.repeat(bounds[word], n_gram) + np.arange(n_gram.sum()) - np.repeat(np.cumsum(n_gram) - n_gram, n_gram)
+    odds_gram = evidence(gram[inner], np.repeat(kept[of], n_gram), label[fitted], GRAM_ROWS)
+    net.p["word"][:, 0] = odds_word * 0.5
+    net.p["gram"][:, 0] = odds_gram * 0.5
+    prior = odds_word[rows] + np.maximum.reduceat(odds_gram[gram], bounds[:-1])
+    first_guess = np.where(idx >= 0, prior[np.maximum(idx, 0)], -9).max(1) + 0.01 * rng.random(len(idx))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     steps = 0
 
@@ -208,21 +253,16 @@ def train(texts: list[str], label: np.ndarray, epochs: int = 14, warm: int = 3,
         return np.concatenate([net.forward(x, idx[k : k + BATCH]) for k in range(0, len(idx), BATCH)])
 
     def worst(logits: np.ndarray) -> np.ndarray:
-        order = np.lexsort((-logits, text))
-        return order[begin]
+        return np.lexsort((-logits, text))[begin]
 
+    batch = int(np.clip((~check).sum() // 12, 16, 128))
     for epoch in range(epochs):
         some = begin + (rng.random(len(own)) * size).astype(np.int64)
-        if epoch < warm:
-            more = [begin + (rng.random(len(own)) * size).astype(np.int64) for _ in range(3)]
-            chosen, target = np.concatenate([some, *more]), np.tile(y, 4)
-            fit = np.tile(~check, 4)
-        else:
-            chosen, target = np.concatenate([worst(all_logits()), some[y == 0]]), np.concatenate([y, y[y == 0]])
-            fit = np.concatenate([~check, ~check[y == 0]])
+        chosen = np.concatenate([worst(first_guess if epoch < warm else all_logits()), some[y == 0]])
+        target, fit = np.concatenate([y, y[y == 0]]), np.concatenate([~check, ~check[y == 0]])
         order = rng.permutation(np.flatnonzero(fit))
-        for k in range(0, len(order), 128):
-            pick = order[k : k + 128]
+        for k in range(0, len(order), batch):
+            pick = order[k : k + batch]
             w = idx[chosen[pick]]
             used, local = np.unique(w, return_inverse=True)
             local = local.reshape(w.shape) - (used[0] == -1)
@@ -232,47 +272,50 @@ def train(texts: list[str], label: np.ndarray, epochs: int = 14, warm: int = 3,
             grams, part = gram[inner], np.concatenate([[0], np.cumsum(n)])
             x = net.inputs(rows[used], grams, part)
             logit, saved = net.forward(x, local, train=True)
-            d = (_sigmoid(logit) - target[pick]).astype(np.float32) / len(pick)
+            weight = np.where(target[pick] == 1, heavy, 1.0)
+            d = ((_sigmoid(logit) - target[pick]) * weight / weight.sum()).astype(np.float32)
             g, d_x = net.backward(x, local, saved, d)
             g_word, g_gram = np.zeros_like(net.p["word"]), np.zeros_like(net.p["gram"])
             np.add.at(g_word, rows[used], d_x[:, :EMBED])
             np.add.at(g_gram, grams, np.repeat(d_x[:, EMBED:] / n[:, None], n, axis=0))
             g |= {"word": g_word, "gram": g_gram}
+            total = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+            shrink = min(1.0, 5.0 / max(total, 1e-9))
             steps += 1
-            rate = 0.01 * (0.5 if epoch > epochs * 0.7 else 1)
+            rate = 0.01 * (0.3 if epoch >= epochs * 0.7 else 1)
             for name, value in net.p.items():
                 m, v = moments[name]
-                grad = g[name] + 1e-5 * value
+                grad = g[name] * shrink + 1e-5 * value
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad * grad - v)
-                value -= rate * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.99**steps)) + 1e-7)
-    logits = all_logits()
-    top = np.maximum.reduceat(logits, begin)
-    aside = check if len(set(y[check].tolist())) > 1 else ~check
-    s, t = top[aside].astype(np.float64), y[aside]
-    a, b = 1.0, 0.0
-    for _ in range(50):  # Newton steps of a logistic fit on two parameters
-        q = 1 / (1 + np.exp(-np.clip(a * s + b, -30, 30)))
-        grad = np.array([((q - t) * s).mean() + 0.01 * (a - 1), (q - t).mean()])
-        v = q * (1 - q)
-        hess = np.array([[(v * s * s).mean() + 0.01, (v * s).mean()], [(v * s).mean(), v.mean() + 1e-6]])
-        a, b = np.array([a, b]) - np.linalg.solve(hess, grad)
-    net.scale, net.shift, net.fitted = float(max(a, 1e-3)), float(b), True
+                value -= rate * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.99**steps)) + 1e-6)
+    top = np.maximum.reduceat(all_logits(), begin).astype(np.float64)
+    aside = check if len(set(y[check].tolist())) > 1 else np.ones(len(own), bool)
+    toxic, clean = np.sort(top[aside & (y == 1)]), np.sort(top[aside & (y == 0)])
+    # The rating that parts the rows set aside best gets the score TOXIC_FROM; between ratings, nearer to the toxic side.
+    edges = np.unique(np.concatenate([toxic, clean]))
+    cuts = np.concatenate([edges[:1] - 1, edges[:-1] + 0.65 * np.diff(edges), edges[-1:] + 1])
+    gain = (len(toxic) - np.searchsorted(toxic, cuts)) / len(toxic) + CLEAN_WEIGHS * np.searchsorted(clean, cuts) / len(clean)
+    best = np.flatnonzero(gain >= gain.max() - 1e-12)
+    cut = float(cuts[best].mean())
+    net.scale = float(np.clip(3 / max(np.median(toxic) - cut, 1e-3), 0.1, 10))
+    net.shift = float(np.log(TOXIC_FROM / (1 - TOXIC_FROM)) - net.scale * cut)
+    net.fitted = True
     return net
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = LABELLED_ROWS) -> Network:
     """Train on at most `rows` labelled documents, whole; a bound on what is trained on, not on what is scored."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
-    chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(rows // 2) for k in (0, 1)]
+    chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(rows * (2 - k) // 3) for k in (0, 1)]
     ids = F.broadcast(chosen[0].union(chosen[1]))  # at most `rows` rows
     got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").toPandas().sort_values(["doc_id", "text"])
     return train(got["text"].tolist(), got["label"].to_numpy())
 
 
 def rate(docs: DataFrame, net: Network, column: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """docs, or its columns `keep`, with a score of every row's whole text; no shuffle."""
-    keep = docs.columns if keep is None else keep
+    """docs, or its columns `keep`, with a score of every row's whole text; no shuffle. A column of that name is replaced."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != column]
     schema = StructType([*[docs.schema[c] for c in keep], StructField(column, DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(net)  # fixed size: the tables and gates
 
