@@ -291,3 +291,23 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = join(table(spark, sf_dir, "documents"))
     return out.select(F.col("k1").alias("doc_id"), "class_id", "n_links")
+
+
+ORACLE = {
+    "op3_ngram_join": """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 4], ' ')) AS g
+  FROM d, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS u(i)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS MATERIALIZED (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * k >= 4 * (x.n + y.n - k)
+), reach(a, c) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM reach r JOIN l ON l.a = r.a
+), class AS (SELECT a AS doc_id, min(c) AS class_id FROM reach GROUP BY a)
+SELECT doc_id, class_id, (SELECT count(*) FROM l WHERE a = doc_id) AS n_links FROM class""",
+}

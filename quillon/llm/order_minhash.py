@@ -22,7 +22,7 @@ from quillon.llm.common import cut, table
 
 K, TUPLE = 2, 2
 #: Slots of a fingerprint, as a power of two.
-SLOT_BITS = 5
+SLOT_BITS = 6
 #: Low bits that carry a position while hashes are sorted.
 AT_BITS = 26
 EMPTY_SLOT = "--------"
@@ -77,6 +77,16 @@ def slots(text: Column, k: int = K, take: int = TUPLE, slot_bits: int = SLOT_BIT
     return bind(bind(sorted_grams, numbered), sketch)
 
 
+def joined(marks: Column) -> Column:
+    """A fingerprint's slots as one string."""
+    return F.array_join(marks, "")
+
+
+def parted(fingerprint: Column) -> Column:
+    """The slots of a joined fingerprint."""
+    return F.regexp_extract_all(fingerprint, F.lit(f".{{{len(EMPTY_SLOT)}}}"), F.lit(0))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Shared slots over the slots that either text fills, 0 to 1."""
 
@@ -131,19 +141,18 @@ def with_next(rows: DataFrame, order: str, carried: list[str], rows_per_bucket:
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    marked = docs.withColumn("marks", slots(F.col("text")))
-    both = with_next(marked, "doc_id", ["text", "marks"])
+    marked = docs.withColumn("fingerprint", joined(slots(F.col("text"))))
+    both = with_next(marked, "doc_id", ["text", "fingerprint"])
     n = F.length("text")
-    third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) AS int))"), F.substring(F.col("next_text"), F.lit(1), third))
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), "marks", "next_marks", edited.alias("edited"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 3).cast("int")), F.substring(F.col("next_text"), F.lit(1), F.floor(n / 3).cast("int")))
+    both = both.select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", edited.alias("edited"))
     both = both.withColumn("edited_marks", slots(F.col("edited")))
     return both.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.array_join("marks", "").alias("fingerprint"),
-        F.array_join("edited_marks", "").alias("edited_fingerprint"),
-        likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"),
-        likeness(F.col("marks"), F.col("next_marks")).alias("near_next"),
+        "fingerprint",
+        joined(F.col("edited_marks")).alias("edited_fingerprint"),
+        likeness(parted(F.col("fingerprint")), F.col("edited_marks")).alias("near_edited"),
+        likeness(parted(F.col("fingerprint")), parted(F.col("next_fingerprint"))).alias("near_next"),
     )

@@ -344,3 +344,23 @@ def strip_repeats(docs: DataFrame, width: int = WINDOW, digest: bool = False, ke
 def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return strip_repeats(docs, digest=True).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE = {
+    "op4_recompression": """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 35], ' ')) AS h FROM d, unnest(range(0, len(w) - 34)) AS u(i)
+), repeated AS (
+  SELECT h FROM windows GROUP BY h HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM windows JOIN repeated USING (h)
+), words AS (
+  SELECT doc_id, k, w[k + 1] AS word FROM d, unnest(range(0, len(w))) AS u(k)
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
+}
