@@ -104,8 +104,12 @@ def apply_rules(z: Column, rules: list[Rule]) -> Column:
 
 
 def _mine(samples: DataFrame, first_id: int, budget: int, gate: Gate, cut_every: int = 24) -> list[Rule]:
-    """Up to `budget` rules numbered from first_id, each of the samples as the earlier ones left them."""
-    working, pending, found = cut(samples.select("z").where(F.length("z") > 1)), [], []
+    """Up to `budget` rules numbered from first_id, each of the samples as the earlier ones left them.
+
+    Rules since the last cut are applied in the scan of the next count; every
+    cut_every of them the rewritten samples are checkpointed, shorter.
+    """
+    working, pending, found = samples.select("z").where(F.length("z") > 1), [], []
     for k in range(budget):
         current = working.select(apply_rules(F.col("z"), pending).alias("z")) if pending else working
         row = best_pair(current, gate).first()

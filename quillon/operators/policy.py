@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.symbols import FIRST_RULE
+from quillon.plans.lineage import cut, global_ranks
 
 #: Parity symbols per profile.
 PARITY = {"Light": 2, "Medium": 4, "Strong": 6}
@@ -27,38 +30,37 @@ def quantile(sorted_values: Column, q: float) -> Column:
     return F.when(F.size(sorted_values) > 0, value).otherwise(F.lit(0.0))
 
 
-def cuts(scored: DataFrame, medium: float, strong: float, score: str = "criticality") -> DataFrame:
-    """(medium_cut, strong_cut) in one row, exact to the bit.
+def quantiles(scored: DataFrame, wanted: list[float], score: str = "criticality") -> dict[float, float]:
+    """Quantiles of a column, exact to the bit, from the rows at the ranks that they need.
 
-    The neighbours of each quantile are found by rank; beside the counts of
-    distinct scores nothing is gathered.
+    Rows are ranked across range partitions; two values per quantile reach the
+    driver.
     """
-    from pyspark.sql import Window
-
-    counted = scored.groupBy(score).agg(F.count("*").alias("n"))
-    counted = counted.withColumn("upto", F.sum("n").over(Window.orderBy(score)))
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    ranked = counted.withColumn("total", total)
-
-    def cut(q: float) -> Column:
-        q = min(max(q, 0.0), 1.0)
-        at = F.lit(q) * (F.max("total") - 1)
-        value = lambda k: F.min(F.when(F.col("upto") > k, F.col(score)))
-        # `upto > k` needs the position before the aggregation, so it is taken from the row's own total.
-        row_at = F.lit(q) * (F.col("total") - 1)
-        low, high = value(F.floor(row_at)), value(F.ceil(row_at))
-        t = at - F.floor(at)
-        return F.coalesce(low * (1 - t) + high * t, F.lit(0.0))
-
-    return ranked.agg(cut(medium).alias("medium_cut"), cut(strong).alias("strong_cut"))
-
-
-def with_profile(scored: DataFrame, medium: float, strong: float, score: str = "criticality") -> DataFrame:
-    """scored with profile and parity. A cut of 0 selects nothing."""
-    one_row = F.broadcast(cuts(scored, medium, strong, score))
-    s = F.col(score)
-    profile = F.when((s >= F.col("strong_cut")) & (F.col("strong_cut") > 0), "Strong").when((s >= F.col("medium_cut")) & (F.col("medium_cut") > 0), "Medium").otherwise("Light")
-    out = scored.join(one_row).withColumn("profile", profile).drop("medium_cut", "strong_cut")
+    ranked = global_ranks(scored.select(score), score)
+    n = ranked.count()
+    if not n:
+        return dict.fromkeys(wanted, 0.0)
+    places = {q: min(max(q, 0.0), 1.0) * (n - 1) for q in wanted}
+    needed = {f(x) for x in places.values() for f in (math.floor, math.ceil)}
+    value = {r["rank"]: r[score] for r in ranked.where(F.col("rank").isin(sorted(needed))).collect()}
+    out = {}
+    for q, x in places.items():
+        t = x - math.floor(x)
+        out[q] = value[math.floor(x)] * (1 - t) + value[math.ceil(x)] * t
+    return out
+
+
+def profile_of(score: Column, medium_cut: float, strong_cut: float) -> Column:
+    """A cut of 0 selects nothing."""
+    strong = (score >= strong_cut) & F.lit(strong_cut > 0)
+    medium = (score >= medium_cut) & F.lit(medium_cut > 0)
+    return F.when(strong, "Strong").when(medium, "Medium").otherwise("Light")
+
+
+def with_profile(scored: DataFrame, medium: float, strong: float, score: str = "criticality", known: dict[float, float] | None = None) -> DataFrame:
+    """scored with profile and parity, by its own quantiles (or those known already)."""
+    known = known or quantiles(scored, [medium, strong], score)
+    out = scored.withColumn("profile", profile_of(F.col(score), known[medium], known[strong]))
     return out.withColumn("parity", parity_of(F.col("profile")))
 
 
@@ -66,11 +68,15 @@ def parity_of(profile: Column) -> Column:
     return F.when(profile == "Strong", PARITY["Strong"]).when(profile == "Medium", PARITY["Medium"]).otherwise(PARITY["Light"])
 
 
-def rule_protection(rules: DataFrame, usage: DataFrame, medium: float = 0.70, strong: float = 0.95) -> DataFrame:
-    """(id, usage, birth_frequency, criticality, profile, parity) for rules (id, frequency)."""
+def rule_scores(rules: DataFrame, usage: DataFrame) -> DataFrame:
+    """(id, usage, birth_frequency, criticality) for rules (id, frequency); rules without usage count 0."""
     joined = rules.select("id", F.col("frequency").alias("birth_frequency")).join(usage, "id", "left").withColumn("usage", F.coalesce("usage", F.lit(0)).cast("long"))
-    scored = joined.withColumn("criticality", F.log1p("usage") + 0.25 * F.log1p("birth_frequency"))
-    return with_profile(scored, medium, strong).select("id", "usage", "birth_frequency", "criticality", "profile", "parity")
+    return joined.withColumn("criticality", F.log1p("usage") + 0.25 * F.log1p("birth_frequency"))
+
+
+def rule_protection(rules: DataFrame, usage: DataFrame, medium: float = 0.70, strong: float = 0.95) -> DataFrame:
+    """rule_scores with profile and parity."""
+    return with_profile(rule_scores(rules, usage), medium, strong).select("id", "usage", "birth_frequency", "criticality", "profile", "parity")
 
 
 def buckets(decisions: DataFrame, idx: str = "idx") -> DataFrame:
@@ -101,4 +107,5 @@ def trail_protection(trails: DataFrame, accesses: DataFrame, n_rules: int, mediu
     out = trails.select(F.col(key), size.alias("symbols"), F.when(size > 0, shared.cast("double") / size).otherwise(0.0).alias("shared_rule_fraction"))
     out = out.join(accesses.select(key, "access_count"), key, "left").withColumn("access_count", F.coalesce("access_count", F.lit(0)).cast("long"))
     score = F.log1p("access_count") + 0.75 * F.col("shared_rule_fraction") + 0.10 * F.log1p("symbols")
-    return with_profile(out.withColumn("criticality", score), medium, strong).select(key, "symbols", "access_count", "shared_rule_fraction", "criticality", "profile")
+    scored = cut(out.withColumn("criticality", score))  # read twice: for the ranks and for the rows
+    return with_profile(scored, medium, strong).select(key, "symbols", "access_count", "shared_rule_fraction", "criticality", "profile")

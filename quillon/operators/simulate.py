@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.operators.policy import PARITY
+from quillon.operators.policy import PARITY, quantiles, rule_scores, with_profile
 
 
 def _group(position: Column, groups: int, size: int, interleaved: bool) -> Column:
@@ -156,15 +156,15 @@ def _group_loss(spark: SparkSession, d: DataFrame, weights: DataFrame, n: int, e
 
 def quantile_sweep(rules: DataFrame, usage: DataFrame, n: int, mediums=(0.5, 0.6, 0.7, 0.8), strongs=(0.85, 0.9, 0.95, 0.98), trials: int = 40, seed: int = 41, simulate: bool = True) -> DataFrame:
     """(medium_q, strong_q, preserved_1pct, preserved_5pct, preserved_10pct, mean_parity, score); pairs with strong <= medium are left out."""
-    from quillon.operators.policy import rule_protection
-
     spark = rules.sparkSession
+    scored = rule_scores(rules, usage)
+    known = quantiles(scored, sorted({*mediums, *strongs}))
     out = None
     for mq in mediums:
         for sq in strongs:
             if sq <= mq:
                 continue
-            d = rule_protection(rules, usage, mq, sq).withColumn("idx", F.col("id") - 256)
+            d = with_profile(scored, mq, sq, known=known).withColumn("idx", F.col("id") - 256)
             d = grouped(_decided(d, True, "Light"), [F.desc("criticality"), F.col("idx")])
             parity = d.select("profile", "grp", "cap").distinct().agg((F.sum("cap") / F.lit(float(n))).alias("mean_parity"))
             one = parity.select(F.lit(mq).alias("medium_q"), F.lit(sq).alias("strong_q"), "mean_parity")
