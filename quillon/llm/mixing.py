@@ -25,6 +25,8 @@ from quillon.llm.common import WORD_PATTERN, cut, table, text_key
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, CAP = 1.5, 2.0
+#: Sources up to which their table and the plan of blocks are broadcast; beyond, both are joined by shuffles.
+SOURCES_BROADCAST = 1 << 16
 #: Blocks of all sources together, beside one per source; what the driver plans with.
 BLOCKS = 1 << 14
 SHARDS = 64
@@ -122,8 +124,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     table_of = [(r.source, i, int(r["size"]), float(t), 1 + math.ceil(blocks * r.n / everything)) for i, (r, t) in enumerate(zip(sources, targets, strict=True))]
     known = spark.createDataFrame(table_of, "source string, _s int, _source_size long, _target double, _blocks int")
 
+    def sent(side: DataFrame) -> DataFrame:  # one row per source, or at most `blocks` and two per source
+        return F.broadcast(side) if len(table_of) <= SOURCES_BROADCAST else side
+
     def placed(df: DataFrame) -> DataFrame:
-        k = F.broadcast(known.withColumnRenamed("source", "_source"))  # one row per source
+        k = sent(known.withColumnRenamed("source", "_source"))
         joined = df.join(k, df["source"].eqNullSafe(k["_source"])).drop("_source")
         return joined.withColumn("_block", F.pmod(F.xxhash64("_row", F.lit(seed)), F.col("_blocks")).cast("int"))
 
@@ -133,10 +138,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     # Rows of the partly drawn blocks, in hashed order, up to the words wanted.
     last = plan.where("_part is not null").select("_s", "_block", "_part")
     order = "PARTITION BY _s, _block ORDER BY xxhash64(_row, 5), _row"
-    drawn = placed(slim).join(F.broadcast(last), ["_s", "_block"]).selectExpr("_s", "_block", "_part", "_row", "_size", f"sum(_size) OVER ({order}) AS upto", "xxhash64(_row, 5) AS h")
+    drawn = placed(slim).join(sent(last), ["_s", "_block"]).selectExpr("_s", "_block", "_part", "_row", "_size", f"sum(_size) OVER ({order}) AS upto", "xxhash64(_row, 5) AS h")
     near = drawn.where("upto - _size / 2 <= _part").groupBy("_s", "_block").agg(F.max("h").alias("_h"))
     plan = cut(plan.join(near, ["_s", "_block"], "left"))  # as many rows as blocks
-    out = placed(sized).join(F.broadcast(plan), ["_s", "_block"], "left")
+    out = placed(sized).join(sent(plan), ["_s", "_block"], "left")
     partial = F.when(F.xxhash64("_row", F.lit(5)) <= F.col("_h"), F.array("_part_shard")).otherwise(F.array().cast("array<int>"))
     out = out.withColumn("_shards", F.coalesce(F.concat("_whole", partial), F.array().cast("array<int>")))
     return out.select("row", "_size", "_source_size", "_target", "_row", "_shards")
