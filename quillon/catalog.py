@@ -397,6 +397,11 @@ def gen_families(spark, d):
     return f.select("family", F.size("bytes").cast("long").alias("n"), F.md5(generators.to_binary(F.col("bytes"))).alias("md5"))
 
 
+def gen_corpora(spark, d):
+    both = [g(spark).select(F.lit(k).alias("corpus"), "sample_ord", "bytes") for k, g in (("protection", generators.protection_corpus), ("mixed", generators.mixed_corpus))]
+    return both[0].unionByName(both[1]).select("corpus", "sample_ord", F.size("bytes").cast("long").alias("n"), F.md5(generators.to_binary(F.col("bytes"))).alias("md5"))
+
+
 def gen_noise(spark, d):
     motif = [65, 66, 67, 68, 65, 66, 67, 68, 48, 48, 88, 89, 88, 89, 48, 48]
     plain = spark.range(1).select(generators.patterned(motif, 4096, 3, 97).alias("a"), generators.sparse_noise(generators.repeat_pattern(motif, 4096, 5), 61, 7).alias("b"), generators.xorshift_bytes(256, 2463534242).alias("c"))
@@ -530,7 +535,7 @@ _QUERIES = (
     rule_usage, rule_protection, protection_buckets, parity_cost, trail_protection,
     burst_failure, max_burst, overhead_model, random_failure, profile_failure, criticality_failure, group_failure, group_parity,
     quantile_sweep, sweep_parity, integrated_failure,
-    read_window, scale_windows, gen_families, gen_noise, zipf_usage, snapshot_roundtrip,
+    read_window, scale_windows, gen_families, gen_corpora, gen_noise, zipf_usage, snapshot_roundtrip,
     online_rules, stream_rules, retention_check, incremental_growth, capacity_sweep, order_retention, multicycle,
 )
 

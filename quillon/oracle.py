@@ -150,6 +150,10 @@ SELECT layout, min(len) - 1 AS max_burst FROM (SELECT layout, len, max(n) AS wor
     "gen_families": f"""WITH m AS (SELECT f, list_transform([0, 1, 2, 3, 0, 1, 6, 7, 8, 9, 10, 11, 8, 9, 14, 15], lambda i: (f * 37 + i * 11 + (i % 4) * f) % 256) AS m FROM range(32) t(f)),
 x AS (SELECT f, list_transform(range(4096), lambda i: m[(i + (f * 3) % 16) % 16 + 1]) AS x FROM m)
 SELECT f AS family, len(x) AS n, {_digest('x')} AS md5 FROM x""",
+    "gen_corpora": f"""WITH x AS (
+SELECT 'protection' AS corpus, f, list_transform(range(4096), lambda i: (f * 29 + (i % 32) * 7 + ((i // 8) % 5) * f) % 256) AS x FROM range(24) t(f) UNION ALL
+SELECT 'mixed', f, list_transform(range(8192), lambda i: CASE WHEN (i + f) % 11 < 5 THEN 65 + f % 8 WHEN (i + 3 * f) % 17 < 8 THEN 97 + f % 8 ELSE (i * 13 + f * 7) % 256 END) FROM range(24) t(f))
+SELECT corpus, f AS sample_ord, len(x) AS n, {_digest('x')} AS md5 FROM x""",
     "gen_noise": f"""WITH RECURSIVE r(k, v) AS (SELECT 0, 2463534242::BIGINT UNION ALL SELECT k + 1, xor(c, (c << 5) & 4294967295) FROM (SELECT k, xor(b, b >> 17) AS c FROM (SELECT k, xor(v, (v << 13) & 4294967295) AS b FROM r WHERE k < 256))),
 a AS (SELECT list_transform(range(4096), lambda i: CASE WHEN i > 0 AND i % 97 = 0 THEN ({_MOTIF}[(i + 3) % 16 + 1] + i) % 256 ELSE {_MOTIF}[(i + 3) % 16 + 1] END) AS x),
 b AS (SELECT list_transform(range(4096), lambda i: CASE WHEN i % 61 = 0 THEN xor({_MOTIF}[(i + 5) % 16 + 1], ((7 + (i & 255)) % 256)::INTEGER) ELSE {_MOTIF}[(i + 5) % 16 + 1] END) AS x),

@@ -81,6 +81,18 @@ def protection_corpus(spark: SparkSession, samples: int = 24, n: int = 4096) ->
     return spark.range(samples).select(F.col("id").alias("sample_ord"), F.transform(positions(n), byte).alias("bytes"))
 
 
+def mixed_corpus(spark: SparkSession, samples: int = 24, n: int = 8192) -> DataFrame:
+    """Runs of a family's capital, of its small letter, and bytes that move on by 13."""
+    f = F.col("id").cast("int")
+    family = F.pmod(f, F.lit(8))
+
+    def byte(i: Column) -> Column:
+        other = F.pmod(i * 13 + f * 7, F.lit(256))
+        return F.when(F.pmod(i + f, F.lit(11)) < 5, family + ord("A")).when(F.pmod(i + 3 * f, F.lit(17)) < 8, family + ord("a")).otherwise(other)
+
+    return spark.range(samples).select(F.col("id").alias("sample_ord"), F.transform(positions(n), byte).alias("bytes"))
+
+
 def zipf_usage(spark: SparkSession, n: int = 1000) -> DataFrame:
     """(id, left, right, frequency, usage): usage falls as 1 / rank, birth frequency a thousandth of it and 2 at least."""
     usage = F.floor(F.lit(1e6) / (1 + F.col("id"))).cast("long")
