@@ -187,20 +187,27 @@ class Network:
         return _sigmoid(np.clip(self.scale * np.maximum(logit, -50) + self.shift, -40, 40))
 
 
-def evidence(item: np.ndarray, text: np.ndarray, label: np.ndarray, rows: int) -> np.ndarray:
+class Evidence:
     """Log-odds of the toxic label for each table row, by the texts that hold it, shrunk where they are few."""
-    seen = np.unique(item.astype(np.int64) * len(label) + text)
-    of, where = seen // len(label), seen % len(label)
-    toxic = np.bincount(of, weights=label[where], minlength=rows)
-    clean = np.bincount(of, minlength=rows) - toxic
-    n1, n0 = max(label.sum(), 1), max((1 - label).sum(), 1)
-    p1, p0 = (toxic + 0.5) / (n1 + 1), (clean + 0.5) / (n0 + 1)
-    sd = np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-    odds = np.log(p1 / p0)
-    return np.where(np.abs(odds) > 2 * sd, np.clip(odds, -3, 3), 0.0)
-
-
-def train(texts: list[str], label: np.ndarray, epochs: int = 11, warm: int = 3, seed: int = 9) -> Network:
+
+    def __init__(self, rows: int):
+        self.texts = np.zeros((2, rows))  # texts of each label that hold the row
+
+    def add(self, item: np.ndarray, text: np.ndarray, label: np.ndarray) -> None:
+        """Some texts, whole: which of them (numbered in `label`) hold which rows."""
+        seen = np.unique(item.astype(np.int64) * len(label) + text)
+        of, toxic = seen // len(label), label[seen % len(label)] == 1
+        for k in (0, 1):
+            self.texts[k] += np.bincount(of[toxic == k], minlength=self.texts.shape[1])
+
+    def odds(self, n_clean: int, n_toxic: int) -> np.ndarray:
+        clean, toxic = self.texts
+        odds = np.log((toxic + 0.5) / (n_toxic + 1) / ((clean + 0.5) / (n_clean + 1)))
+        sd = np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+        return np.where(np.abs(odds) > 2 * sd, np.clip(odds, -3, 3), 0.0)
+
+
+def train(texts: list[str] | pa.Array, label: np.ndarray, epochs: int = 11, warm: int = 3, seed: int = 9) -> Network:
     """Fit by Adam.
 
     The first coordinate of each embedding starts from the log-odds of its
@@ -212,12 +219,13 @@ def train(texts: list[str], label: np.ndarray, epochs: int = 11, warm: int = 3,
     net = Network()
     if not len(label) or len(set(label.tolist())) < 2:
         return net
-    raw, offsets = utf8_buffer(pa.array(texts, pa.large_string()))
+    raw, offsets = utf8_buffer(texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.large_string()))
     rows, gram, bounds, number, first = Words()(raw, offsets)
     at, text = windows_of(first)
     if not len(text):
         return net
-    idx = np.where(at >= 0, number[np.maximum(at, 0)], -1)
+    idx = np.where(at >= 0, number[np.maximum(at, 0)], -1).astype(np.int32)
+    del at
     rng = np.random.Generator(np.random.PCG64(seed))
     own = np.unique(text)
     begin = np.searchsorted(text, own)
@@ -229,18 +237,20 @@ def train(texts: list[str], label: np.ndarray, epochs: int = 11, warm: int = 3,
     for k in (0, 1):
         check[rng.permutation(np.flatnonzero(y == k))[: int((y == k).sum() * 0.2)]] = True
     heavy = float(np.clip((~check & (y == 0)).sum() / max((~check & (y == 1)).sum(), 1), 0.2, 20))
-    # Log-odds from the texts that are fitted.
-    fitted = np.zeros(len(label), bool)
-    fitted[own[~check]] = True
-    word_text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    pair = np.unique(number * len(label) + word_text)  # distinct words of each text
-    word, of = pair // len(label), pair % len(label)
-    word, of = word[fitted[of]], of[fitted[of]]
-    kept = np.cumsum(fitted) - 1
-    odds_word = evidence(rows[word], kept[of], label[fitted], WORD_ROWS)
-    n_gram = np.diff(bounds)[word]
-    inner = np.repeat(bounds[word], n_gram) + np.arange(n_gram.sum()) - np.repeat(np.cumsum(n_gram) - n_gram, n_gram)
-    odds_gram = evidence(gram[inner], np.repeat(kept[of], n_gram), label[fitted], GRAM_ROWS)
+    # Log-odds from the texts that are fitted, some texts at a time.
+    by_word, by_gram = Evidence(WORD_ROWS), Evidence(GRAM_ROWS)
+    chosen = own[~check]
+    for k in range(0, len(chosen), 256):
+        some = chosen[k : k + 256]
+        words = [np.unique(number[first[t] : first[t + 1]]) for t in some]
+        n_words = np.array([len(w) for w in words])
+        word, of = np.concatenate(words), np.repeat(np.arange(len(some)), n_words)
+        by_word.add(rows[word], of, label[some])
+        n_gram = np.diff(bounds)[word]
+        inner = np.repeat(bounds[word], n_gram) + np.arange(n_gram.sum()) - np.repeat(np.cumsum(n_gram) - n_gram, n_gram)
+        by_gram.add(gram[inner], np.repeat(of, n_gram), label[some])
+    counts = (int((label[chosen] == 0).sum()), int((label[chosen] == 1).sum()))
+    odds_word, odds_gram = by_word.odds(*counts), by_gram.odds(*counts)
     net.p["word"][:, 0] = odds_word * 0.5
     net.p["gram"][:, 0] = odds_gram * 0.5
     prior = odds_word[rows] + np.maximum.reduceat(odds_gram[gram], bounds[:-1])
@@ -309,8 +319,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(rows * (2 - k) // 3) for k in (0, 1)]
     ids = F.broadcast(chosen[0].union(chosen[1]))  # at most `rows` rows
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").toPandas().sort_values(["doc_id", "text"])
-    return train(got["text"].tolist(), got["label"].to_numpy())
+    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return train(got.column("text"), got.column("label").to_numpy())
 
 
 def rate(docs: DataFrame, net: Network, column: str = "score", keep: list[str] | None = None) -> DataFrame:
