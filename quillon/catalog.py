@@ -251,28 +251,28 @@ def recover_two_rules(spark, d):
     return parity.recover_two_rules(made, rules, lost.select("grp", "a", "b"))
 
 
-def _damaged_block(trails, places):
-    """trails with one or two symbols of each trail's first block changed."""
-    hit = lambda i: (i == 0) | ((i == F.least(F.size("symbols"), F.lit(BLOCK)) - 1) if places == 2 else F.lit(False))
+def _damaged(trails, places):
+    """trails with the first symbol of every block changed, and for two places the last one too."""
+    first = lambda i: i % BLOCK == 0
+    last = lambda i: (i % BLOCK == BLOCK - 1) | (i == F.size("symbols") - 1)
+    hit = (lambda i: first(i) | last(i)) if places == 2 else first
     return trails.withColumn("symbols", F.transform("symbols", lambda x, i: F.when(hit(i), x.bitwiseXOR(0x1234 + i)).otherwise(x)))
 
 
-def _first_blocks(repaired):
-    return repaired.where("block = 0").select("trail_id", F.array_join(F.col("repaired").cast("array<string>"), ",").alias("repaired"))
+def _written_out(repaired):
+    return repaired.select("trail_id", "block", F.array_join(F.col("repaired").cast("array<string>"), ",").alias("repaired"))
 
 
 def recover_one_symbol(spark, d):
     trails = _order_trails(spark, d)
-    first = trails.withColumn("symbols", F.slice("symbols", 1, BLOCK))
-    made = parity.trail_parity(first, BLOCK)
-    return _first_blocks(parity.recover_one_symbol(integrity.block_hashes(first, BLOCK), made, _damaged_block(first, 1), BLOCK))
+    made = parity.trail_parity(trails, BLOCK)
+    return _written_out(parity.recover_one_symbol(integrity.block_hashes(trails, BLOCK), made, _damaged(trails, 1), BLOCK))
 
 
 def recover_two_symbols(spark, d):
     trails = _order_trails(spark, d)
-    first = trails.withColumn("symbols", F.slice("symbols", 1, BLOCK))
-    made = parity.trail_dual_parity(first, BLOCK)
-    return _first_blocks(parity.recover_two_symbols(integrity.block_hashes(first, BLOCK), made, _damaged_block(first, 2), BLOCK))
+    made = parity.trail_dual_parity(trails, BLOCK)
+    return _written_out(parity.recover_two_symbols(integrity.block_hashes(trails, BLOCK), made, _damaged(trails, 2), BLOCK))
 
 
 def interleave_order(spark, d):

@@ -119,8 +119,8 @@ ORACLE: dict[str, str] = {
     "trail_dual_parity": _FIELD + f", t AS ({_BLOCKS}), u AS (SELECT trail_id, block, len(part) AS n, unnest(part) AS v, unnest(range(1, len(part) + 1)) AS place FROM t) SELECT trail_id, block, block * 8 AS begin_index, n AS count, printf('%016X', bit_xor(v)) AS p, " + _times("place", "v") + " AS q FROM u, x GROUP BY trail_id, block, n",
     "recover_one_rule": f"SELECT * FROM ({_RULES}) WHERE idx % 8 = (idx // 8) % 8",
     "recover_two_rules": f"WITH r AS ({_RULES}), g AS (SELECT idx // 8 AS grp, min(idx) AS b, count(*) AS c FROM r GROUP BY 1 HAVING count(*) >= 2) SELECT r.* FROM r JOIN g ON idx // 8 = grp WHERE idx = b + c - 1 OR idx = b + grp % (c - 1)",
-    "recover_one_symbol": f"SELECT trail_id, array_to_string(part, ',') AS repaired FROM ({_BLOCKS}) WHERE block = 0",
-    "recover_two_symbols": f"SELECT trail_id, array_to_string(part, ',') AS repaired FROM ({_BLOCKS}) WHERE block = 0 AND len(part) > 1",
+    "recover_one_symbol": f"SELECT trail_id, block, array_to_string(part, ',') AS repaired FROM ({_BLOCKS})",
+    "recover_two_symbols": f"SELECT trail_id, block, array_to_string(part, ',') AS repaired FROM ({_BLOCKS}) WHERE len(part) > 1",
     "interleave_order": "SELECT row_number() OVER (ORDER BY i % least(64, n), i) - 1 AS pos, i AS idx FROM (SELECT unnest(range(n)) AS i, n FROM (SELECT count(*) AS n FROM orders))",
     "interleave_inverse": "SELECT i AS idx, row_number() OVER (ORDER BY i % least(64, n), i) - 1 AS pos, true AS inverse FROM (SELECT unnest(range(n)) AS i, n FROM (SELECT count(*) AS n FROM orders))",
     "rule_usage": f"WITH e AS (SELECT {_ENCODED} AS e FROM ({_Z})) SELECT 256 + k AS id, coalesce(sum(length(e) - length(replace(e, chr((256 + k)::INTEGER), ''))), 0)::BIGINT AS usage FROM e, range(8) u(k) GROUP BY k",
