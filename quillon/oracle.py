@@ -20,19 +20,47 @@ for _k, _p in enumerate(_FIXED):
 _WORDS = ["the ", "and ", "the", "and", "th", "e ", "an", "in"]
 
 
-def _train(rules: int, start: str, first_id: int) -> str:
-    """A common table expression per rule."""
-    parts = [f"z0 AS MATERIALIZED ({start})"]
+def _chain(rules: int, start: str, first_id: int, name: str = "") -> list[str]:
+    """Common table expressions, some per rule: z<name><k> after k rules, b<name><k> the k-th rule."""
+    parts = [f"z{name}0 AS MATERIALIZED ({start})"]
     for k in range(rules):
+        n = f"{name}{k}"
         parts += [
-            f"a{k} AS (SELECT string_split(z, '') AS a FROM z{k} WHERE length(z) > 1)",
-            f"p{k} AS MATERIALIZED ({_PAIRS.format(src=f'a{k}')})",
-            f"s{k} AS ({_SCORED.format(pairs=f'p{k}')})",
-            f"b{k} AS MATERIALIZED (SELECT {first_id + k} AS id, l, r, n FROM s{k} WHERE {_GATE} ORDER BY score DESC, unicode(l), unicode(r) LIMIT 1)",
-            f"z{k + 1} AS MATERIALIZED (SELECT replace(z, b{k}.l || b{k}.r, chr({first_id + k})) AS z FROM z{k}, b{k})",
+            f"a{n} AS (SELECT string_split(z, '') AS a FROM z{n} WHERE length(z) > 1)",
+            f"p{n} AS MATERIALIZED ({_PAIRS.format(src=f'a{n}')})",
+            f"s{n} AS ({_SCORED.format(pairs=f'p{n}')})",
+            f"b{n} AS MATERIALIZED (SELECT {first_id + k} AS id, l, r, n FROM s{n} WHERE {_GATE} ORDER BY score DESC, unicode(l), unicode(r) LIMIT 1)",
+            f"z{name}{k + 1} AS MATERIALIZED (SELECT CASE WHEN l IS NULL THEN z ELSE replace(z, l || r, chr({first_id + k})) END AS z FROM z{n} LEFT JOIN b{n} ON true)",
         ]
-    last = " UNION ALL ".join(f"SELECT id, unicode(l)::BIGINT AS left, unicode(r)::BIGINT AS right, n AS frequency FROM b{k}" for k in range(rules))
-    return "WITH " + ", ".join(parts) + " " + last.replace("id,", "id::BIGINT AS id,")
+    return parts
+
+
+def _train(rules: int, start: str, first_id: int) -> str:
+    last = " UNION ALL ".join(f"SELECT id::BIGINT AS id, unicode(l)::BIGINT AS left, unicode(r)::BIGINT AS right, n AS frequency FROM b{k}" for k in range(rules))
+    return "WITH " + ", ".join(_chain(rules, start, first_id)) + " " + last
+
+
+_ITEMS = f"SELECT item_id, coalesce(array_to_string(list_transform({_BYTES}, lambda x: chr(x)), ''), '') AS z FROM benchmark WHERE text IS NOT NULL"
+
+
+def _capacities(levels: tuple[int, ...]) -> str:
+    """Mean cost after so many rules; the rules of a smaller budget are the first of a larger one's."""
+    k = max(levels)
+    parts = _chain(k, f"SELECT z FROM ({_ITEMS})", 256)
+    # Rewriting keeps a sample's row; its length before any rule goes with it.
+    parts = [x.replace("SELECT z FROM (", "SELECT z, length(z) AS n0 FROM (").replace("END AS z FROM", "END AS z, n0 FROM") for x in parts]
+    found = lambda c: " + ".join(f"(SELECT count(*) FROM b{j})" for j in range(c))
+    rows = " UNION ALL ".join(f"SELECT {c} AS capacity, ({found(c)})::INTEGER AS rules, (SELECT round(avg(length(z)::DOUBLE / nullif(n0, 0)), 9) FROM z{c}) AS cost" for c in levels)
+    return "WITH " + ", ".join(parts) + " " + rows
+
+
+def _growth(steps: int, rules: int) -> str:
+    parts, rows = [f"items AS MATERIALIZED (SELECT z, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS total FROM ({_ITEMS}))"], []
+    for s in range(1, steps + 1):
+        parts += _chain(rules, f"SELECT z FROM items WHERE k < total * {s} // {steps}", 256, f"s{s}r")
+        found = " + ".join(f"(SELECT count(*) FROM bs{s}r{j})" for j in range(rules))
+        rows.append(f"SELECT {s} AS step, (SELECT max(total) FROM items) * {s} // {steps} AS samples, {found} AS rules")
+    return "WITH " + ", ".join(parts) + f", g AS ({' UNION ALL '.join(rows)}) SELECT step, samples, rules, greatest(rules - coalesce(lag(rules) OVER (ORDER BY step), 0), 0) AS growth FROM g WHERE samples > 0"
 
 
 def _fnv(values: str) -> str:
@@ -162,5 +190,7 @@ u AS (SELECT 0 AS k, x FROM a UNION ALL SELECT 1, x FROM b UNION ALL SELECT 2, (
 SELECT k, len(x) AS n, list_sum(x)::BIGINT AS total, {_digest('x')} AS md5 FROM u""",
     "zipf_usage": _ZIPF,
     "snapshot_roundtrip": f"SELECT doc_id AS trail_id, length({_ENCODED}) AS n, true AS exact FROM ({_Z})",
+    "capacity_sweep": _capacities((2, 4, 8, 12)),
+    "incremental_growth": _growth(8, 4),
     "retention_check": "SELECT row_number() OVER (ORDER BY item_id) - 1 AS ord, true AS exact FROM benchmark WHERE text IS NOT NULL",
 }
