@@ -19,7 +19,7 @@ from quillon.functions.hashing import as_hex, hash_rule, hash_symbols
 from quillon.functions.symbols import to_trail
 from quillon.operators import encoding, hierarchy, integrity, interleave, mining, parity, policy, simulate
 from quillon.operators.mining import Gate, Rule
-from quillon.plans.lineage import cut
+from quillon.plans.lineage import cut, spread
 from quillon.sources import generators, readers, snapshot
 from quillon.streaming import online
 
@@ -39,11 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    return encoding.text_samples(table(spark, sf_dir, "documents").select("doc_id", "text", *more).where("text IS NOT NULL")).drop("text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", *more).where("text IS NOT NULL"))
+    return encoding.text_samples(docs).drop("text")
 
 
 def _bytes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.text_bytes(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id").select("sample_ord", F.hex("content").alias("h"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL"))
+    return readers.text_bytes(docs, "doc_id").select("sample_ord", F.hex("content").alias("h"))
 
 
 def _orders_as_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +186,7 @@ def hier_roundtrip(spark, d):
 
 def rule_hash(spark, d):
     c = [F.col(x).cast("long") for x in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
-    return table(spark, d, "lineitem").select(*[x.alias(n) for x, n in zip(c, ("id", "left", "right", "frequency"), strict=True)], as_hex(hash_rule(*c)).alias("hash"))
+    return spread(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")).select(*[x.alias(n) for x, n in zip(c, ("id", "left", "right", "frequency"), strict=True)], as_hex(hash_rule(*c)).alias("hash"))
 
 
 def trail_hash(spark, d):

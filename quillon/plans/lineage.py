@@ -39,3 +39,12 @@ def global_ranks(df: DataFrame, order: str, name: str = "rank") -> DataFrame:
     offsets = df.sparkSession.createDataFrame(rows, "_p long, _offset long")
     out = placed.join(F.broadcast(offsets), F.shiftright("_at", 33) == F.col("_p"))  # a row per partition
     return out.withColumn(name, F.col("_offset") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_p", "_offset")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores, dealt to all cores; a larger one as it is scanned.
+
+    A file of one row group is one task, however it is split.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
