@@ -3,8 +3,8 @@
 Texts become sets of five-word shingles; texts with equal sets are one class.
 Each class gets a MinHash signature, read as TREES labels of DEPTH bytes. A
 tree's sorted prefix trie groups the classes that share a label's prefix.
-Prefixes are matched at full depth first and shortened until the recall that
-the found pairs imply reaches the target. Pairs whose signatures agree well
+Prefixes are as long as still finds a pair at the threshold itself with the
+target recall, so a pair is found alike whatever else the table holds. Pairs whose signatures agree well
 enough join classes into candidate groups, and in each group every pair of
 sets is compared exactly, in blocks of bounded size.
 
@@ -26,7 +26,6 @@ from quillon.llm.common import WordHasher, by_group, components, cut, group_boun
 
 WIDTH, THRESHOLD = 5, 0.8
 TREES, DEPTH = 24, 8
-DEPTHS = (8, 6, 5, 4)
 RECALL = 0.999
 PIECE_BYTES = 1 << 19
 #: Rows compared with each other in one go.
@@ -43,6 +42,11 @@ def found_share(similarity: np.ndarray, depth: int, trees: int = TREES) -> np.nd
     return 1 - (1 - p**depth) ** trees
 
 
+def depth_for(threshold: float, target: float = RECALL) -> int:
+    """The longest prefix by which a pair at the threshold is found with the target recall, or else one label byte."""
+    return next((d for d in range(DEPTH, 1, -1) if found_share(threshold, d) >= target), 1)
+
+
 class Minima:
     """Signatures of one byte per hash."""
 
@@ -104,8 +108,8 @@ def _signature_matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def _agree(depth: int, threshold: float):
-    """Within blocks of a prefix's members: edges of a spanning forest of the pairs that agree, and what recall they imply."""
+def _agree(threshold: float):
+    """Within blocks of a prefix's members: edges of a spanning forest of the pairs that agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["key", "ci", "cj"]
@@ -114,19 +118,13 @@ def _agree(depth: int, threshold: float):
             sig, rid, side, cross = _signature_matrix(t.column("sig")), t.column("rid").to_numpy(), t.column("side").to_numpy(), t.column("ci").to_numpy() != t.column("cj").to_numpy()
             size = np.diff(bounds)
             edges: list[tuple[np.ndarray, np.ndarray]] = []
-            found = expected = 0.0
 
-            def weigh(equal: np.ndarray) -> tuple[np.ndarray, float, float]:
-                likely = (equal.mean(1) - 1 / 256) / (1 - 1 / 256)
-                ok = likely >= threshold - SLACK
-                link = likely >= threshold
-                trees = equal[link].reshape(-1, TREES, DEPTH)[:, :, :depth].all(2).sum(1).clip(1)
-                return ok, float((1 / trees).sum()), float((1 / trees / found_share(likely[link], depth)).sum())
+            def near_enough(equal: np.ndarray) -> np.ndarray:
+                return (equal.mean(1) - 1 / 256) / (1 - 1 / 256) >= threshold - SLACK
 
             two = bounds[:-1][(size == 2) & ~cross[bounds[:-1]]]
             if len(two):
-                ok, f, e = weigh(sig[two] == sig[two + 1])
-                found, expected = found + f, expected + e
+                ok = near_enough(sig[two] == sig[two + 1])
                 edges.append((rid[two[ok]], rid[two[ok] + 1]))
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if b - a < 2 or (b - a == 2 and not cross[a]):
@@ -136,35 +134,24 @@ def _agree(depth: int, threshold: float):
                 for i in range(b - a):
                     others = np.flatnonzero(side[a:b] == 1) if cross[a] and side[a + i] == 0 else np.arange(i + 1, b - a) if not cross[a] else np.zeros(0, np.int64)
                     if len(others):
-                        ok, f, e = weigh(s[others] == s[i])
-                        found, expected = found + f, expected + e
-                        near[i, others[ok]] = True
+                        near[i, others[near_enough(s[others] == s[i])]] = True
                 pairs = np.array(spanning(near | near.T), np.int64).reshape(-1, 2)
                 edges.append((r[pairs[:, 0]], r[pairs[:, 1]]))
             x = np.concatenate([e[0] for e in edges]) if edges else np.zeros(0, np.int64)
             y = np.concatenate([e[1] for e in edges]) if edges else np.zeros(0, np.int64)
-            n = len(x)
-            yield pa.record_batch(
-                [pa.array([*x.tolist(), None], pa.int64()), pa.array([*y.tolist(), None], pa.int64()), pa.array([0.0] * n + [found]), pa.array([0.0] * n + [expected])],
-                names=["a", "b", "found", "expected"],
-            )
+            yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
     return run
 
 
 def candidates(classes: DataFrame, threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:
-    """(a, b): edges whose components hold all pairs found at the depth that reaches the target recall."""
-    for depth in DEPTHS:
-        prefix = f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(sig, t * {DEPTH} + 1, {depth})))"
-        keyed = classes.select("rid", F.explode(F.expr(prefix)).alias("key"))
-        shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        members = keyed.join(shared, "key")
-        with_sig = members.join(classes.select("rid", "sig"), "rid")
-        out = cut(in_blocks(with_sig, "key", "rid", SIGNATURE_BLOCK).mapInArrow(_agree(depth, threshold), "a long, b long, found double, expected double"))
-        found, expected = out.where("a IS NULL").agg(F.sum("found"), F.sum("expected")).first()
-        if not found or found / expected >= target:
-            break
-    return out.where("a IS NOT NULL").select("a", "b")
+    """(a, b): edges whose components hold the pairs that share a prefix of the depth for the target recall."""
+    prefix = f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(sig, t * {DEPTH} + 1, {depth_for(threshold, target)})))"
+    keyed = classes.select("rid", F.explode(F.expr(prefix)).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = keyed.join(shared, "key")
+    with_sig = members.join(classes.select("rid", "sig"), "rid")
+    return cut(in_blocks(with_sig, "key", "rid", SIGNATURE_BLOCK).mapInArrow(_agree(threshold), "a long, b long"))
 
 
 def _sets(docs: DataFrame) -> DataFrame:

@@ -117,6 +117,29 @@ def test_ngram_join_large_group_in_blocks(spark, monkeypatch):
     assert collections.Counter(tuple(r) for r in got.collect()) == join_model(data)
 
 
+def test_ngram_join_finds_pairs_at_the_threshold_beside_a_large_group(spark):
+    """1000 pairs of Jaccard 0.80 and a group of 250 near copies, of 31,125 pairs."""
+    data = []
+    for k in range(1000):
+        w = [f"p{k}x{i}" for i in range(49)]  # 45 shingles, 5 of which a changed word touches
+        data.append((2 * k, " ".join(w), "", "", 0))
+        data.append((2 * k + 1, " ".join([*w[:20], "new", *w[21:]]), "", "", 0))
+    base = [f"h{i}" for i in range(400)]
+    for k in range(250):
+        data.append((10000 + k, " ".join([*base[:-1], f"end{k}"]), "", "", 0))
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.k1: (r.class_id, r.n_links) for r in ngram_join.join(df).select("k1", "class_id", "n_links").collect()}
+    assert all(got[10000 + k] == (10000, 249) for k in range(250))
+    assert sum(got[2 * k + 1] == (2 * k, 1) for k in range(1000)) >= 996
+
+
+def test_ngram_join_depth_has_the_recall_at_the_threshold():
+    for threshold in (0.5, 0.7, 0.8, 0.9, 0.95):
+        depth = ngram_join.depth_for(threshold)
+        assert ngram_join.found_share(threshold, depth) >= ngram_join.RECALL
+        assert depth == ngram_join.DEPTH or ngram_join.found_share(threshold, depth + 1) < ngram_join.RECALL
+
+
 def test_keep_one(spark):
     out = ngram_join.keep_one(clashing(spark))
     assert out.columns == clashing(spark).columns
