@@ -1,15 +1,19 @@
 """Order MinHash fingerprints, in DataFrame operations alone.
 
 A text's k-mers are runs of K words, numbered by occurrence, so that a k-mer
-that comes again is another element. Each is hashed once; the hash range is
-parted into SKETCHES equal slots, and in each slot the TUPLE elements of least
-hash are selected, put back into text order and hashed as a tuple. Two texts
+that comes again is another element. Each is hashed once; the hash range is a
+ring, parted into equal slots. A slot's order of the elements is the ring's,
+begun at the slot, so the TUPLE least elements of all, which may lie in later
+slots, are selected, put back into text order and hashed as a tuple. Two texts
 share a slot only where they share its elements in the same order, so likeness
-falls with edits and with moves. (One hash over parted ranges stands in for a
-hash per sketch, which would cost SKETCHES times as much.)
+falls with edits and with moves, in short texts as in long ones. (One hash,
+begun at different places, stands in for a hash per sketch, which would cost
+as many times as much as there are slots. Each slot has the chance of sharing
+of a hash of its own, but slots of short texts depend on each other.)
 
 A null text is empty. A text without words has only empty slots; one of fewer
-than K words has the one k-mer of all its words. The likeness of two texts
+than K words has the one k-mer of all its words. A text of fewer than TUPLE
+k-mers has no tuple; it fills only the slot in which its k-mer lies. The likeness of two texts
 without words is 1. Equal texts have equal fingerprints.
 """
 
@@ -61,18 +65,24 @@ def slots(text: Column, k: int = K, take: int = TUPLE, slot_bits: int = SLOT_BIT
         return F.when(F.size(s) > 0, F.sort_array(bind(begins, runs))).otherwise(s)
 
     def sketch(e: Column) -> Column:
-        slot = lambda x: F.shiftrightunsigned(x, 64 - slot_bits)
-        begins = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: (i == 0) | (slot(F.get(e, i)) != slot(F.get(e, i - 1))))
-
-        def entry(a: Column) -> Column:
-            least = F.filter(F.slice(e, a + 1, take), lambda x: slot(x) == slot(F.get(e, a)))
-            placed = F.sort_array(F.transform(least, lambda x: F.struct(x.bitwiseAND(mask).alias("at"), F.shiftright(x, AT_BITS).alias("h"))))
-            digest = F.lpad(F.hex(F.xxhash64(F.transform(placed, lambda x: x["h"])).bitwiseAND(0xFFFFFFFF)), 8, "0")
-            return F.struct(slot(F.get(e, a)).cast("int").alias("key"), digest.alias("value"))
-
-        found = F.map_from_entries(F.transform(begins, entry))
-        full = bind(found, lambda m: F.transform(F.sequence(F.lit(0), F.lit((1 << slot_bits) - 1)), lambda j: F.coalesce(F.element_at(m, j), F.lit(EMPTY_SLOT))))
-        return F.when(F.size(e) > 0, full).otherwise(F.array_repeat(F.lit(EMPTY_SLOT), 1 << slot_bits))
+        n = 1 << slot_bits
+        rank = lambda x: (F.shiftright(x, 64 - slot_bits) + n // 2).cast("int")  # noqa: E731  slots in the order of signed hashes
+        begins = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: (i == 0) | (rank(F.get(e, i)) != rank(F.get(e, i - 1))))
+
+        def filled(ring: Column, b: Column) -> Column:
+            def digest(a: Column) -> Column:
+                placed = F.sort_array(F.transform(F.slice(ring, a + 1, F.least(F.lit(take), F.size(e))), lambda x: F.struct(x.bitwiseAND(mask).alias("at"), F.shiftright(x, AT_BITS).alias("h"))))
+                return F.lpad(F.hex(F.xxhash64(F.transform(placed, lambda x: x["h"])).bitwiseAND(0xFFFFFFFF)), 8, "0")
+
+            lent = lambda v: F.when(F.size(e) >= take, v).otherwise(F.lit(EMPTY_SLOT))
+            gap = lambda a, r: rank(F.get(e, a)) - F.coalesce(rank(F.get(e, F.get(b, r - 1))), F.lit(-1)) - 1
+            upto = F.transform(b, lambda a, r: bind(digest(a), lambda v: F.concat(F.array_repeat(lent(v), gap(a, r)), F.array(v))))
+            after = F.array_repeat(lent(digest(F.get(b, F.lit(0)))), n - 1 - rank(F.get(e, F.size(e) - 1)))
+            return F.concat(F.flatten(upto), after)
+
+        full = bind(F.concat(e, F.slice(e, 1, take - 1)), lambda ring: bind(begins, lambda b: filled(ring, b)))
+        turned = bind(full, lambda x: F.concat(F.slice(x, n // 2 + 1, n // 2), F.slice(x, 1, n // 2)))
+        return F.when(F.size(e) > 0, turned).otherwise(F.array_repeat(F.lit(EMPTY_SLOT), n))
 
     return bind(bind(sorted_grams, numbered), sketch)
 

@@ -232,6 +232,36 @@ def test_occurrences_and_order_matter(spark):
     assert got.x == 1.0 and 0 < got.y < 1 and got.z == 0.0
 
 
+def order_model(text, sketches=64):
+    """The tuples of a hash per sketch over all k-mers."""
+    out = []
+    for k in range(sketches):
+        named = [(hashlib.md5(f"{k} {g}".encode()).digest(), at) for at, g in enumerate(minhash_model(text))]
+        out.append(tuple(h for h, at in sorted(sorted(named)[:2], key=lambda x: x[1])))
+    return out
+
+
+def test_short_texts_keep_their_order(spark):
+    rng = np.random.Generator(np.random.PCG64(7))
+    data, dealt = [], collections.defaultdict(list)
+    for n in (20, 40, 60, 100, 120, 400):
+        for _ in range(40):
+            w = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+            a, b = " ".join(w), " ".join(w[n // 2 :] + w[: n // 2])
+            data.append((n, a, b))
+            dealt[n].append(np.mean([x == y for x, y in zip(order_model(a), order_model(b))]))
+    df = spark.createDataFrame(data, "n int, a string, b string")
+    got = df.select("n", order_minhash.likeness(order_minhash.slots(F.col("a")), order_minhash.slots(F.col("b"))).alias("x")).groupBy("n").agg(F.avg("x").alias("x"))
+    got = {r.n: r.x for r in got.collect()}
+    assert {n: abs(got[n] - np.mean(x)) < 0.08 for n, x in dealt.items()} == dict.fromkeys(dealt, True), (got, {n: np.mean(x) for n, x in dealt.items()})
+
+
+def test_every_slot_of_a_text_with_a_tuple_is_filled(spark):
+    df = spark.createDataFrame([("a b c",), ("a b c d",), ("a b c d e f " * 40,)], "text string")
+    for r in df.select(order_minhash.slots(F.col("text")).alias("m")).collect():
+        assert len(r.m) == 64 and order_minhash.EMPTY_SLOT not in r.m
+
+
 def test_with_next_over_many_buckets(spark):
     df = spark.createDataFrame([(k * k, f"t{k}") for k in range(101)], "doc_id long, text string").withColumn("next_text", F.lit(0))
     for per in (1, 7, 1000):
