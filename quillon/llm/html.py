@@ -1,10 +1,12 @@
 """Main text of web pages by host-wide consensus.
 
-Each page's containers are scored by their text, links and paragraphs. Scores
-vote, per host, on generalised tag-class paths, which name containers across
-pages; the votes are added up in Spark. Every page is then read again and the
-text under its host's winning path taken. A page without that path falls back
-on its own best container, then on its body.
+Each page's containers are scored by their text, links and paragraphs. A page
+votes, per host, on generalised tag-class paths, which name containers across
+pages: by the scores within its articles or mains, or else for the container
+that encloses its titles and nearly all of its score. The votes are added up
+in Spark. Every page is then read again and the text under its host's winning
+path taken, or under its own enclosing container, below the body, where that
+holds the winning one. A page without that path falls back on its own vote.
 
 Boilerplate by tag, role or class (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, comments) is never text. Null or empty html
@@ -39,6 +41,9 @@ MARKED = frozenset(
     " social related recommended breadcrumb breadcrumbs newsletter subscribe signup popup modal overlay toolbar pagination pager widget".split()
 )
 CLOSES_P = BLOCKS - {"br"}
+#: A container is left for one within it that holds all but one in so many parts of the page's score.
+REST = 20
+TOPS = ("", "html", "body")
 HOSTS_BROADCAST = 1 << 18
 
 
@@ -70,6 +75,7 @@ class Page:
         self.paths: list[str] = [""]
         self.parents: list[int] = [-1]
         self.pieces: list[tuple[int, str, bool]] = []  # container, text (a space at a block's edge), within a link
+        self.titles: list[tuple[int, int]] = []  # container, first piece
         self._read(source)
 
     def _read(self, source: str) -> None:
@@ -109,6 +115,8 @@ class Page:
                 continue
             if tag in VOID or m[3].endswith("/"):
                 continue
+            if tag == "h1" and not stack[-1][2]:
+                self.titles.append((stack[-1][1], len(self.pieces)))
             inside = tag in CONTAINERS
             attrs = _attributes(m[3]) if m[3].strip() else {}
             dropped = stack[-1][2] or _boilerplate(tag, attrs)
@@ -150,10 +158,38 @@ class Page:
         m = re.match(r".*?/(?:article|main)(?:\.[^/]*)?(?=/|\Z)", path)
         return m[0] if m else path
 
+    def top(self, c: int) -> bool:
+        return self.paths[c].rsplit("/", 1)[-1].split(".")[0] in TOPS
+
+    def enclosing(self, scores: dict[int, int]) -> int:
+        """The innermost container that holds the titles (at the body's level, those that are no links) and nearly all of the score."""
+        n = len(self.paths)
+        held = [scores.get(c, 0) for c in range(n)]
+        titles, plain = [0] * n, [0] * n
+        for c, at in self.titles:
+            titles[c] += 1
+            plain[c] += not next((linked for _, s, linked in self.pieces[at:] if s.strip()), True)
+        children: list[list[int]] = [[] for _ in range(n)]
+        for c in range(n - 1, 0, -1):
+            up = self.parents[c]
+            held[up] += held[c]
+            titles[up] += titles[c]
+            plain[up] += plain[c]
+            children[up].append(c)
+        at = 0
+        while True:
+            named = plain if self.top(at) else titles
+            most = max(children[at], key=held.__getitem__, default=None)
+            if most is None or REST * held[most] < (REST - 1) * held[0] or named[most] < named[at] or (scores.get(at) and not self.top(at)):
+                return at
+            at = most
+
     def votes(self) -> Counter:
         scores = self.scores()
         total = sum(scores.values())
         out: Counter = Counter()
+        if scores and not any(re.search(r"/(?:article|main)\b", self.paths[c]) for c in scores):
+            return Counter({self.paths[self.enclosing(scores)]: 1000})
         for c, s in scores.items():
             out[self.article(self.paths[c])] += 1000 * s // total
         return out
@@ -164,8 +200,13 @@ class Page:
         return " ".join("".join(s for c, s, _ in self.pieces if hit[c]).split())
 
     def text(self, path: str | None) -> str:
-        if path is not None and path in self.paths and (found := self.under(path)):
-            return found
+        if path is not None and path in self.paths:
+            if not re.search(r"/(?:article|main)\b", path) and (scores := self.scores()):
+                own = self.enclosing(scores)
+                if not self.top(own) and path.startswith(self.paths[own] + "/"):
+                    path = self.paths[own]
+            if found := self.under(path):
+                return found
         votes = self.votes()
         if not votes:
             return ""

@@ -203,6 +203,33 @@ def test_html_consensus(spark):
     assert [r.host for r in html.consensus(pages(spark, data)).collect()] == ["host.example"]
 
 
+LONG = "A paragraph of the article, with enough words to count as text of its own, number {}."
+SHELL = '<html><body><div class="rail"><a href="/a">Some other story</a> <a href="/b">And another one</a></div>{}</body></html>'
+WHOLE = {
+    "title": ('<div class="content"><h1>The title</h1><div class="entry"><p>{0}</p><p>{1}</p><p>{2}</p></div></div>', "The title {0} {1} {2}"),
+    "titlebox": ('<div class="content"><div class="head"><h1>The title</h1></div><div class="entry"><p>{0}</p><p>{1}</p><p>{2}</p></div></div>', "The title {0} {1} {2}"),
+    "sections": ('<div class="content"><div class="intro"><p>{0}</p></div><div class="body"><p>{1}</p></div><div class="faq"><p>{2}</p></div></div>', "{0} {1} {2}"),
+    "list": ('<div class="content"><p>{0}</p><ul><li>{1}</li><li>{2}</li><li>{1}</li><li>{2}</li></ul></div>', "{0} {1} {2} {1} {2}"),
+}
+
+
+def test_html_whole_article_without_article_or_main(spark):
+    data, want = [], {}
+    for h, (name, (body, text)) in enumerate(WHOLE.items()):
+        for n in range(4):
+            parts = [LONG.format(10 * n + k) for k in range(3)]
+            data.append((10 * h + n, f"http://{name}.example/{n}", SHELL.format(body.format(*parts))))
+            want[10 * h + n] = text.format(*parts)
+    # One page of many sections on a host where the others have a single one.
+    narrow = '<div class="content"><div class="body"><p>{0}</p><p>{1}</p></div></div>'
+    for n in range(4):
+        parts = [LONG.format(100 + 10 * n + k) for k in range(3)]
+        data.append((100 + n, f"http://mixed.example/{n}", SHELL.format((narrow if n else WHOLE["sections"][0]).format(*parts))))
+        want[100 + n] = " ".join(parts[: 2 if n else 3])
+    got = {r.page_id: r.text for r in html.extract(pages(spark, data)).collect()}
+    assert {k: got[k] for k in want if got[k] != want[k]} == {}
+
+
 def test_html_edges(spark):
     data = [
         (1, None, None), (2, "http://a/", ""), (3, "x", "plain text &eacute;&nbsp;here"), (4, "http://b", "<article><p>cut off in the mid"),
