@@ -32,6 +32,10 @@ FIXED = [
 LAYERS = 3
 BLOCK = 8
 TRAINED = 3
+#: The reference's budgets of online learning: rules a sample, and where samples come in several orders.
+ONLINE, ONLINE_ORDERS = 16, 24
+#: The reference's budget of each cycle's consolidation.
+CONSOLIDATED = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -438,7 +442,7 @@ def _items(spark, d):
 
 
 def online_rules(spark, d):
-    rules, _ = online.learn_online(_items(spark, d), "item_id", "content", max_new=4, gate=GATE)
+    rules, _ = online.learn_online(_items(spark, d), "item_id", "content", max_new=ONLINE, gate=GATE)
     return mining.rules_frame(spark, rules)
 
 
@@ -446,7 +450,7 @@ def stream_rules(spark, d):
     """The same, as a stream of files through foreachBatch."""
     items, folder = _items(spark, d), _shared_folder(spark)
     items.write.parquet(f"{folder}/items")
-    learner = online.StreamLearner("item_id", "content", 4, GATE)
+    learner = online.StreamLearner("item_id", "content", ONLINE, GATE)
     query = learner.start(spark.readStream.schema(items.schema).parquet(f"{folder}/items"), f"{folder}/progress")
     query.awaitTermination()
     return mining.rules_frame(spark, learner.rules)
@@ -504,7 +508,7 @@ def order_retention(spark, d):
             random.Random(12345 + run).shuffle(own)
         rules: list[Rule] = []
         for sample in own:
-            rules += online.learn_sample(sample, rules, 4, GATE)
+            rules += online.learn_sample(sample, rules, ONLINE_ORDERS, GATE)
         costs = [len(online.encode_one(x, rules)) / len(x) for x in items if x]
         out.append((run, len(rules), round(sum(costs) / max(len(costs), 1), 9)))
     return spark.createDataFrame(out, "run int, rules long, mean_cost double")
@@ -517,11 +521,11 @@ def multicycle(spark, d):
     out = []
     for cycle in range(4):
         for sample in items[len(items) * cycle // 4 : len(items) * (cycle + 1) // 4]:
-            rules += online.learn_sample(sample, rules, 4, GATE)
+            rules += online.learn_sample(sample, rules, ONLINE, GATE)
         seen = items[: len(items) * (cycle + 1) // 4]
         before = len(rules)
         trails = spark.createDataFrame([(online.encode_one(x, rules),) for x in seen], "z string")
-        rules = mining.consolidate(trails, rules, 4, GATE)
+        rules = mining.consolidate(trails, rules, CONSOLIDATED, GATE)
         costs = [len(online.encode_one(x, rules)) / len(x) for x in seen if x]
         out.append((cycle + 1, before, len(rules) - before, len(rules), round(sum(costs) / max(len(costs), 1), 9)))
     return spark.createDataFrame(out, "cycle int, before long, added long, after long, mean_cost double")
