@@ -36,6 +36,8 @@ TRAINED = 3
 ONLINE, ONLINE_ORDERS = 16, 24
 #: The reference's budget of each cycle's consolidation.
 CONSOLIDATED = 64
+#: The reference's numbers of random trials.
+TRIALS, SWEEP_TRIALS, INTEGRATED_TRIALS = 5000, 1500, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -345,19 +347,19 @@ def _zipf(spark):
 
 
 def random_failure(spark, d):
-    return simulate.random_failure(spark, trials=300)
+    return simulate.random_failure(spark, trials=TRIALS)
 
 
 def profile_failure(spark, d):
-    return simulate.profile_failure(spark, trials=300)
+    return simulate.profile_failure(spark, trials=TRIALS)
 
 
 def criticality_failure(spark, d):
-    return simulate.rule_failure(_zipf(spark), 1000, trials=100)
+    return simulate.rule_failure(_zipf(spark), 1000, trials=TRIALS)
 
 
 def group_failure(spark, d):
-    return simulate.group_failure(_zipf(spark), 1000, trials=100)
+    return simulate.group_failure(_zipf(spark), 1000, trials=TRIALS)
 
 
 def group_parity(spark, d):
@@ -366,7 +368,7 @@ def group_parity(spark, d):
 
 def quantile_sweep(spark, d):
     rules = generators.zipf_usage(spark)
-    return simulate.quantile_sweep(rules.select("id", "frequency"), rules.select("id", "usage"), 1000, mediums=(0.5, 0.7), strongs=(0.85, 0.95), trials=20)
+    return simulate.quantile_sweep(rules.select("id", "frequency"), rules.select("id", "usage"), 1000, trials=SWEEP_TRIALS)
 
 
 def sweep_parity(spark, d):
@@ -376,7 +378,7 @@ def sweep_parity(spark, d):
 
 
 def integrated_failure(spark, d):
-    return simulate.integrated(_zipf(spark), trials=100)
+    return simulate.integrated(_zipf(spark), trials=INTEGRATED_TRIALS)
 
 
 # --- sources ----------------------------------------------------------------

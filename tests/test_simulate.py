@@ -17,3 +17,16 @@ def test_random_damage_is_near_what_is_published(spark):
 def test_overheads(spark):
     got = {r.metric: r.overhead_pct for r in simulate.overhead(spark).collect()}
     assert got["rule_parity"] == 31.25 and got["rule_total"] == 56.25 and round(got["trail_total"], 2) == 7.81 and round(got["combined"], 2) == 8.00
+
+
+def test_registered_trials_and_grid(spark, monkeypatch):
+    from quillon import catalog
+
+    by = {r.capacity: r.probability for r in catalog.profile_failure(spark, "").collect()}
+    assert all(abs(p * 5000 - round(p * 5000)) < 1e-6 for p in by.values()) and any(abs(p * 300 - round(p * 300)) > 1e-6 for p in by.values())
+    seen = {}
+    for name in ("random_failure", "rule_failure", "group_failure", "quantile_sweep", "integrated"):
+        monkeypatch.setattr(simulate, name, lambda *a, _name=name, **k: seen.update({_name: k}))
+    for query in ("random_failure", "criticality_failure", "group_failure", "quantile_sweep", "integrated_failure"):
+        catalog.queries()[query](spark, "")
+    assert seen == {"random_failure": {"trials": 5000}, "rule_failure": {"trials": 5000}, "group_failure": {"trials": 5000}, "quantile_sweep": {"trials": 1500}, "integrated": {"trials": 1000}}
