@@ -265,7 +265,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = cut(join(docs, threshold))
     worded = found.where("set_key <> 0").groupBy("class_key").agg(F.min(F.struct("k1", "k2")).alias("k"), F.count("*").alias("n"))
     kept = worded.select("k.k1", "k.k2").union(found.where("set_key = 0").select("k1", "k2").distinct())
-    again = found.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
+    again = found.where("set_key <> 0").groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
     kept = cut(kept.join(again.withColumn("again", F.lit(True)), ["k1", "k2"], "left"))
     side, _ = small_side(kept, BROADCAST_ROWS)
     k1, k2 = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), text_key(F.col("doc_id"), F.col("text"))

@@ -153,6 +153,14 @@ def test_keep_one(spark):
     assert ngram_join.keep_one(empty(spark)).isEmpty()
 
 
+def test_keep_one_leaves_repeated_texts_without_words(spark):
+    data = [(None, None, "en", "a", 0), (None, None, "de", "b", 0), (None, None, "de", "b", 0), (7, "", "en", "a", 0), (7, "", "en", "c", 0), (8, "some words", "en", "a", 10), (8, "some words", "en", "b", 10)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    out = collections.Counter((r.doc_id, r.lang, r.source) for r in ngram_join.keep_one(df).collect() if r.doc_id != 8)
+    assert out == collections.Counter((r[0], r[2], r[3]) for r in data if r[0] != 8)
+    assert ngram_join.keep_one(df).where("doc_id = 8").count() == 1
+
+
 def test_shingle_sets():
     import pyarrow as pa
 
