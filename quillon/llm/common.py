@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -36,17 +37,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is
-    set only where the session names none, as in tests on one machine.
+    The folder is the session's ``spark.checkpoint.dir``.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a temporary folder only in local mode, where driver and executors are one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="quillon-checkpoint-")
+
+
 def small_side(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """df, hinted for broadcast only where its counted rows are at most max_rows.
 
@@ -98,31 +106,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """Words and their 64-bit names for many texts at once, in numpy.
+    """Words and their names for many texts at once, in numpy.
 
-    A name is a polynomial of seeded random byte values over the word, so it
-    depends on the word's bytes alone, and is then mixed.
+    A name is two numbers, 128 bits. A word of at most PACKED bytes is packed
+    into them with its length, whole, and shuffled by a bijection, so different
+    words have different names; a longer one goes by its BLAKE2 digest. Each
+    half alone is a 64-bit hash of the word.
     """
 
-    BASE = 0x9E3779B97F4A7C15 | 1
+    PACKED = 15
 
-    def __init__(self, seed: int = 20240607, fold_case: bool = False):
-        rng = np.random.Generator(np.random.PCG64(seed))
-        self.values = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        if fold_case:
-            self.values[65:91] = self.values[97:123]
+    def __init__(self, separators: Iterable[int] = SPACE_BYTES, fold_case: bool = False):
         self.is_space = np.zeros(256, bool)
-        self.is_space[list(SPACE_BYTES)] = True
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) <= n:
-            n = max(n + 1, 1 << 16)
-            inverse = pow(self.BASE, -1, 1 << 64)
-            for name, base in (("powers", self.BASE), ("inverses", inverse)):
-                steps = np.full(n, base & (2**64 - 1), np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
+        self.is_space[list(separators)] = True
+        self.fold = np.arange(256, dtype=np.uint8) if fold_case else None
+        if fold_case:
+            self.fold[65:91] = self.fold[97:123]
+        self.masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
     def spans(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Byte starts and ends of all words, and each text's first word's index."""
@@ -138,24 +138,61 @@ class WordHasher:
         ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
         return starts, ends, np.searchsorted(starts, offsets)
 
-    def names(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, most_bytes: int = 1 << 20) -> np.ndarray:
-        """Names of the words at the given places, worked out a stretch of bytes at a time."""
-        out = np.empty(len(starts), np.uint64)
-        i = 0
-        while i < len(starts):
-            j = max(i + 1, int(np.searchsorted(ends, starts[i] + most_bytes, "right")))
-            base, top = int(starts[i]), int(ends[j - 1])
-            part, a, b = raw[base:top], starts[i:j] - base, ends[i:j] - base
-            self._grow(top - base)
-            sums = np.zeros(top - base + 1, np.uint64)
-            np.cumsum(self.values[part] * self.powers[: top - base], out=sums[1:])
-            out[i:j] = mix64((sums[b] - sums[a]) * self.inverses[a] + (b - a).astype(np.uint64))
-            i = j
-        return out
+    def names(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """High and low halves of the names of the words at the given places."""
+        raw = raw if self.fold is None else self.fold[raw]
+        n = ends - starts
+        padded = np.append(raw, np.zeros(16, np.uint8))
+        packed = np.lib.stride_tricks.sliding_window_view(padded, 16)[starts].view("<u8")
+        high = packed[:, 0] & self.masks[np.minimum(n, 8)]
+        low = packed[:, 1] & self.masks[np.clip(n - 8, 0, 7)] | n.astype(np.uint64) << np.uint64(56)
+        for k in np.flatnonzero(n > self.PACKED):
+            digest = hashlib.blake2b(raw[starts[k] : ends[k]], digest_size=16).digest()
+            high[k], low[k] = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little") | 255 << 56
+        high ^= mix64(low)
+        low ^= mix64(high)
+        high ^= mix64(low)
+        return high, low
+
+    def wide(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(high and low halves of each word's name, each text's first word's index)."""
+        starts, ends, first = self.spans(raw, offsets)
+        return *self.names(raw, starts, ends), first
 
     def words(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(the high halves of the words' names, byte starts, ends, each text's first word's index)."""
         starts, ends, first = self.spans(raw, offsets)
-        return self.names(raw, starts, ends), starts, ends, first
+        return self.names(raw, starts, ends)[0], starts, ends, first
+
+
+class RunNames:
+    """128-bit names of runs of words, by a tree of mixed halves: no algebra ties the names of different runs.
+
+    Runs are at least `width` words long and shorter than 2 x `width`.
+    """
+
+    def __init__(self, high: np.ndarray, low: np.ndarray, width: int):
+        self.step = 1 << (width.bit_length() - 1)
+        a, b = high, low
+        half = 1
+        while half < self.step:
+            n = max(len(a) - half, 0)
+            a, b = self._join(a[:n], b[:n], a[half:], b[half:])
+            half *= 2
+        self.high, self.low = a, b
+
+    @staticmethod
+    def _join(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        high = mix64(mix64(a1 ^ (b2 << np.uint64(1))) + b1)
+        return high, mix64(mix64(a2 + high) ^ b2)
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rest = end - start - self.step
+        a, b = self.high[start], self.low[start]
+        for k in (1, 2, 3):  # overlapping steps that cover the run
+            at = start + (rest * k + 2) // 3
+            a, b = self._join(a, b, self.high[at], self.low[at])
+        return mix64(a + (end - start).astype(np.uint64)), b
 
 
 def windows(names: np.ndarray, width: int, seed: int) -> np.ndarray:

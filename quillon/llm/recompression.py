@@ -17,7 +17,9 @@ A window without a symbol between its edges is its own anchor.
 
 Null and empty texts have no words. Repeated rows repeat each other's windows.
 Rows are told apart by doc_id and text; a null doc_id is an id like others.
-Words are compared by 128 bits of hashes. An empty table gives no rows.
+Words go by 128-bit names (their own bytes, or a BLAKE2 digest of a longer one),
+windows and spans by 128-bit names mixed from those in a tree; equal names are
+taken for equal words. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,31 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WordHasher, cut, mix64, pieces, table, text_key, utf8_buffer
+from quillon.llm.common import RunNames, WordHasher, cut, mix64, pieces, table, text_key, utf8_buffer
 
 WINDOW = 35
 PAIR_ROUNDS = 4
 PIECE_BYTES = 1 << 19
 _SIDE = np.uint64(0xA24BAED4963EE407)
-
-
-class Sums:
-    """Names of arbitrary runs of words by prefix sums of a polynomial."""
-
-    BASE = 0xC2B2AE3D27D4EB4F
-
-    def __init__(self, names: np.ndarray):
-        n = len(names)
-        step = np.full(n + 1, self.BASE, np.uint64)
-        step[0] = 1
-        back = np.full(n + 1, pow(self.BASE, -1, 1 << 64), np.uint64)
-        back[0] = 1
-        self.back = np.multiply.accumulate(back)
-        self.upto = np.zeros(n + 1, np.uint64)
-        np.cumsum(names * np.multiply.accumulate(step)[:n], out=self.upto[1:])
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix64((self.upto[end] - self.upto[start]) * self.back[start] ^ (end - start).astype(np.uint64) * _SIDE)
+#: Anchors are called common by the spans in one row in SEEN, OFTEN or more; COMMON of them at most are spread, each to SALTS places.
+SEEN, OFTEN, COMMON, SALTS = 64, 64, 1 << 14, 64
 
 
 def left_class(symbols: np.ndarray, level: int) -> np.ndarray:
@@ -122,8 +107,8 @@ def symbols_of(names: np.ndarray, first: np.ndarray, rounds: int = PAIR_ROUNDS):
     return sym, begins, lo, hi
 
 
-def anchors(names: np.ndarray, first: np.ndarray, width: int = WINDOW, rounds: int = PAIR_ROUNDS):
-    """Spans of windows that share an anchor: (anchor, span's name, text, first and last window start as word positions)."""
+def anchors(names: np.ndarray, low: np.ndarray, first: np.ndarray, width: int = WINDOW, rounds: int = PAIR_ROUNDS):
+    """Spans of windows that share an anchor: (anchor, two halves of the span's name, text, first and last window start as word positions)."""
     n = len(names)
     counts = np.diff(first)
     owner = np.repeat(np.arange(len(counts)), counts)
@@ -131,9 +116,8 @@ def anchors(names: np.ndarray, first: np.ndarray, width: int = WINDOW, rounds: i
     start = np.flatnonzero(np.arange(n) + width <= last_of)
     if not len(start):
         z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), z, z, z
+        return *(np.zeros(0, np.uint64) for _ in range(3)), z, z, z
     sym, begins, lo, hi = symbols_of(names, first, rounds)
-    sums = Sums(names)
     m = len(sym)
     a, b = lo[start], hi[start + width]
     ai = np.searchsorted(begins, a)
@@ -162,25 +146,23 @@ def anchors(names: np.ndarray, first: np.ndarray, width: int = WINDOW, rounds: i
     i2 = start[np.append(np.flatnonzero(change)[1:], len(start)) - 1]
     chosen = pick[change]
     alone = chosen < 0
-    whole = sums(i1, i2 + width)
+    whole, rest = RunNames(names, low, width)(i1, i2 + width)
     safe = np.maximum(chosen, 0)
     name = np.where(alone, mix64(whole ^ _SIDE), mix64(sym[safe] + size[safe]))
     offset = np.where(alone, 0, begins[safe] - i1).astype(np.uint64)
-    return name, mix64(whole + offset), owner[i1], i1 - first[owner[i1]], i2 - first[owner[i1]]
+    return name, mix64(whole + offset), rest, owner[i1], i1 - first[owner[i1]], i2 - first[owner[i1]]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _parts(batch: pa.RecordBatch, hasher: WordHasher):
-    """(rows a to b, names, first, raw, starts, ends) of a batch, piece by piece."""
+def _parts(batch: pa.RecordBatch):
+    """(rows a to b, their bytes, offsets within these) of a batch, piece by piece."""
     raw, offsets = utf8_buffer(batch.column(batch.schema.get_field_index("text")))
     for a, b in pieces(offsets, PIECE_BYTES):
         part = offsets[a : b + 1]
-        own = raw[part[0] : part[-1]]
-        names, starts, ends, first = hasher.words(own, part - part[0])
-        yield a, b, names, first, own, starts, ends
+        yield a, b, raw[part[0] : part[-1]], part - part[0]
 
 
 def _mark(batch: pa.RecordBatch, rows: np.ndarray, i1: np.ndarray) -> np.ndarray:
@@ -190,70 +172,82 @@ def _mark(batch: pa.RecordBatch, rows: np.ndarray, i1: np.ndarray) -> np.ndarray
 
 
 def count_spans(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(s, u, c, r): anchors, their spans, how often each occurs, and the least place mark; counted within pieces before the shuffle."""
+    """(s, u, v, c, r): anchors, their spans, how often each occurs, and the least place mark; counted within pieces before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            for a, _, names, first, *_ in _parts(batch, hasher):
-                s, u, who, i1, _ = anchors(names, first, width)
+            for a, _, raw, offsets in _parts(batch):
+                s, u, v, who, i1, _ = anchors(*hasher.wide(raw, offsets), width)
                 if not len(s):
                     continue
                 r = _mark(batch, who + a, i1)
-                order = np.lexsort((u, s))
-                s, u, r = s[order], u[order], r[order]
+                order = np.lexsort((v, u, s))
+                s, u, v, r = s[order], u[order], v[order], r[order]
                 fresh = np.ones(len(s), bool)
-                fresh[1:] = (s[1:] != s[:-1]) | (u[1:] != u[:-1])
+                fresh[1:] = (s[1:] != s[:-1]) | (u[1:] != u[:-1]) | (v[1:] != v[:-1])
                 at = np.flatnonzero(fresh)
                 c = np.diff(np.append(at, len(s)))
-                yield pa.record_batch([_signed(s[at]), _signed(u[at]), pa.array(c, pa.int32()), pa.array(np.minimum.reduceat(r, at))], names=["s", "u", "c", "r"])
+                yield pa.record_batch([_signed(s[at]), _signed(u[at]), _signed(v[at]), pa.array(c, pa.int32()), pa.array(np.minimum.reduceat(r, at))], names=["s", "u", "v", "c", "r"])
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "s long, u long, c int, r int")
+    return docs.select("k1", "k2", "text").mapInArrow(run, "s long, u long, v long, c int, r int")
 
 
 def spans(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(k1, k2, s, u, i1, i2, r): each row's spans."""
+    """(k1, k2, s, u, v, i1, i2, r): each row's spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            for a, _, names, first, *_ in _parts(batch, hasher):
-                s, u, who, i1, i2 = anchors(names, first, width)
+            for a, _, raw, offsets in _parts(batch):
+                s, u, v, who, i1, i2 = anchors(*hasher.wide(raw, offsets), width)
                 if len(s):
                     rows = pa.array(who + a)
                     yield pa.record_batch(
-                        [batch.column(0).take(rows), batch.column(1).take(rows), _signed(s), _signed(u), pa.array(i1, pa.int32()), pa.array(i2, pa.int32()), pa.array(_mark(batch, who + a, i1), pa.int32())],
-                        names=["k1", "k2", "s", "u", "i1", "i2", "r"],
+                        [batch.column(0).take(rows), batch.column(1).take(rows), _signed(s), _signed(u), _signed(v), pa.array(i1, pa.int32()), pa.array(i2, pa.int32()), pa.array(_mark(batch, who + a, i1), pa.int32())],
+                        names=["k1", "k2", "s", "u", "v", "i1", "i2", "r"],
                     )
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, s long, u long, i1 int, i2 int, r int")
+    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, s long, u long, v long, i1 int, i2 int, r int")
+
+
+def common_anchors(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+    """(s): anchors of so many different spans that their rows must be spread; at most COMMON of them.
+
+    Told from one row in SEEN, which decides only where rows meet, never what
+    is found: a common anchor that is missed here is one larger task.
+    """
+    some = count_spans(docs.where(F.pmod(F.xxhash64("k2", F.lit(29)), F.lit(SEEN)) == 0), width)
+    often = some.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    return often.orderBy(F.desc("n"), "s").limit(COMMON).select("s", F.lit(True).alias("common"))
 
 
 def _window_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(k1, k2, s, w, i, n) for the spans listed in each row's `open`; n counts 2 for a settled span's stand-in."""
+    """(k1, k2, s, w, x, i, n) for the spans listed in each row's `open`; n counts 2 for a settled span's stand-in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             listed = batch.column(batch.schema.get_field_index("open"))
-            for a, b, names, first, *_ in _parts(batch, hasher):
+            for a, b, raw, offsets in _parts(batch):
                 own = listed.slice(a, b - a)
                 n = np.asarray(own.value_lengths().fill_null(0))
                 flat = own.flatten()
                 if not len(flat):
                     continue
+                names, low, first = hasher.wide(raw, offsets)
                 i1, i2, s, times = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("i1", "i2", "s", "n"))
                 who = np.repeat(np.arange(b - a), n)
                 size = (i2 - i1 + 1).astype(np.int64)
                 of = np.repeat(np.arange(len(size)), size)
                 i = i1[of] + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
                 at = first[who[of]] + i
-                w = Sums(names)(at, at + width)
+                w, x = RunNames(names, low, width)(at, at + width)
                 rows = pa.array(who[of] + a)
                 k1, k2 = (batch.column(batch.schema.get_field_index(k)).take(rows) for k in ("k1", "k2"))
-                yield pa.record_batch([k1, k2, pa.array(s[of]), _signed(w), pa.array(i, pa.int32()), pa.array(times[of], pa.int32())], names=["k1", "k2", "s", "w", "i", "n"])
+                yield pa.record_batch([k1, k2, pa.array(s[of]), _signed(w), _signed(x), pa.array(i, pa.int32()), pa.array(times[of], pa.int32())], names=["k1", "k2", "s", "w", "x", "i", "n"])
 
-    return docs.mapInArrow(run, "k1 long, k2 long, s long, w long, i int, n int")
+    return docs.mapInArrow(run, "k1 long, k2 long, s long, w long, x long, i int, n int")
 
 
 def _stripped(docs: DataFrame, width: int, digest: bool, keep_text: bool) -> DataFrame:
@@ -267,11 +261,12 @@ def _stripped(docs: DataFrame, width: int, digest: bool, keep_text: bool) -> Dat
         for batch in batches:
             covered = batch.column(batch.schema.get_field_index("covered"))
             kept_columns = [batch.schema.get_field_index(c) for c in keep]
-            for a, b, names, first, raw, starts, ends in _parts(batch, hasher):
+            for a, b, raw, offsets in _parts(batch):
+                starts, ends, first = hasher.spans(raw, offsets)
                 own = covered.slice(a, b - a)
                 n = np.asarray(own.value_lengths().fill_null(0))
                 flat = own.flatten()
-                gone = np.zeros(len(names) + 1, np.int64)
+                gone = np.zeros(len(starts) + 1, np.int64)
                 if len(flat):
                     base = first[np.repeat(np.arange(b - a), n)]
                     np.add.at(gone, base + flat.field("i1").to_numpy(zero_copy_only=False), 1)
@@ -317,24 +312,27 @@ def strip_repeats(docs: DataFrame, width: int = WINDOW, digest: bool = False, ke
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     k1, k2 = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), text_key(F.col("doc_id"), F.col("text"))
     keyed = docs.select(row.alias("row"), k1.alias("k1"), k2.alias("k2"), text.alias("text"))
-    # One shuffle by anchor: spans that occur twice, and whether some span of an anchor does not.
-    by_anchor = Window.partitionBy("s")
-    counted = count_spans(keyed, width).repartition("s").groupBy("s", "u").agg(F.sum("c").alias("c"), F.min("r").alias("r"))
-    state = counted.withColumns({"total": F.sum("c").over(by_anchor), "single": F.min("c").over(by_anchor) == 1}).where("total > 1")
-    state = state.select("s", "u", (F.col("c") > 1).alias("settled"), F.when(F.col("single"), F.col("r")).alias("r"))
+    # One shuffle by anchor: spans that occur twice, and whether some span of an anchor does not. The spans of a
+    # common anchor are spread; it occurs again wherever it does, and its settled spans are compared in any case.
+    counted = count_spans(keyed, width).join(F.broadcast(common_anchors(keyed, width)), "s", "left")
+    counted = counted.withColumn("salt", F.when(F.col("common"), F.pmod("u", F.lit(SALTS))).otherwise(0).cast("int"))
+    counted = counted.repartition("s", "salt").groupBy("s", "salt", "common", "u", "v").agg(F.sum("c").alias("c"), F.min("r").alias("r"))
+    place = Window.partitionBy("s", "salt")
+    state = counted.withColumns({"total": F.sum("c").over(place), "single": F.min("c").over(place) == 1}).where("common OR total > 1")
+    state = state.select("s", "u", "v", (F.col("c") > 1).alias("settled"), F.when(F.col("common") | F.col("single"), F.col("r")).alias("r"))
     # Windows of unsettled spans are compared, with each other and with those of one occurrence of each settled span.
-    found = spans(keyed, width).join(state.withColumnRenamed("r", "least"), ["s", "u"])
+    found = spans(keyed, width).join(state.withColumnRenamed("r", "least"), ["s", "u", "v"])
     found = found.withColumn("compare", F.col("r") == F.col("least"))
     found = found.groupBy("k1", "k2").agg(
-        F.collect_list(F.when(F.col("settled"), F.struct("i1", "i2"))).alias("settled"),
-        F.collect_list(F.when(F.col("compare"), F.struct("i1", "i2", "s", F.when(F.col("settled"), 2).otherwise(1).alias("n")))).alias("open"),
+        F.collect_set(F.when(F.col("settled"), F.struct("i1", "i2"))).alias("settled"),
+        F.collect_set(F.when(F.col("compare"), F.struct("i1", "i2", "s", F.when(F.col("settled"), 2).otherwise(1).alias("n")))).alias("open"),
     )
     found = cut(found)
     dealt = keyed.repartition("k1", "k2")  # the texts are dealt once for both joins
     open_rows = found.where(F.size("open") > 0).select("k1", "k2", "open")
     compared = _window_rows(dealt.join(open_rows, ["k1", "k2"]), width)
-    repeated = compared.groupBy("s", "w").agg(F.sum("n").alias("n")).where("n > 1").select("s", "w")
-    hit = compared.where("n = 1").join(repeated, ["s", "w"]).groupBy("k1", "k2").agg(F.collect_set("i").alias("hits"))
+    repeated = compared.groupBy("s", "w", "x").agg(F.sum("n").alias("n")).where("n > 1").select("s", "w", "x")
+    hit = compared.where("n = 1").join(repeated, ["s", "w", "x"]).groupBy("k1", "k2").agg(F.collect_set("i").alias("hits"))
     single = F.transform("hits", lambda i: F.struct(i.alias("i1"), i.alias("i2")))
     ranges = found.select("k1", "k2", "settled").join(hit, ["k1", "k2"], "left")
     ranges = ranges.select("k1", "k2", F.concat("settled", F.coalesce(single, F.array().cast("array<struct<i1:int,i2:int>>"))).alias("covered"))

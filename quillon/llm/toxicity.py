@@ -39,10 +39,7 @@ class Words:
     """Words of many texts: letters and digits of any script, A-Z as a-z."""
 
     def __init__(self):
-        self.hasher = WordHasher(seed=77, fold_case=True)
-        ascii_letters = np.array([chr(b).isalnum() for b in range(128)])
-        self.hasher.is_space[:128] = ~ascii_letters
-        self.hasher.is_space[128:] = False
+        self.hasher = WordHasher([b for b in range(128) if not chr(b).isalnum()], fold_case=True)
         self.fold = np.arange(256, dtype=np.uint32)
         self.fold[65:91] = self.fold[97:123]
 

@@ -64,6 +64,64 @@ def test_recompression_periodic_texts(spark):
     assert collections.Counter(tuple(r) for r in got.collect()) == strip_model(data)
 
 
+def stripped(spark, texts):
+    data = [(k, t, "", "", 0) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    got = recompression.strip_repeats(df, digest=True).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+    return collections.Counter(tuple(r) for r in got.collect()), data
+
+
+@pytest.mark.parametrize("size", [1024, 2048])
+def test_recompression_words_of_one_polynomial_are_different(spark, size):
+    """The Thue-Morse word and its complement, which polynomial hashes modulo 2^64 confuse."""
+    morse = "".join("ab"[bin(k).count("1") % 2] for k in range(size))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    line = " ".join(f"w{k}" for k in range(34))
+    got, data = stripped(spark, [f"{line} {morse}", f"{line} {other}", f"{line} {morse} more"])
+    assert got == strip_model(data) and sum(r[2] for r in got) == 70
+
+
+def test_recompression_windows_of_one_polynomial_are_different(spark):
+    """Windows of two words in the Thue-Morse order and its complement."""
+    words = [["up", "down"][bin(k).count("1") % 2] for k in range(64)]
+    got, data = stripped(spark, [" ".join(words), " ".join("up" if w == "down" else "down" for w in words), " ".join(words[5:60])])
+    assert got == strip_model(data)
+
+
+def test_recompression_long_runs_and_long_texts(spark):
+    rng = np.random.default_rng(5)
+    long = " ".join(f"n{k}" for k in rng.integers(0, 10**9, 120_000))  # over a megabyte
+    words = long.split()
+    got, data = stripped(spark, ["run " * 10_000, "x " + "run " * 34, long, " ".join(["other", *words[60_000:60_080], "end"]), "y" * 1_100_000])
+    assert got == strip_model(data)
+
+
+@pytest.mark.parametrize("often", [2, 64])
+def test_recompression_a_common_anchor(spark, monkeypatch, often):
+    """One line in half of all documents, in other surroundings each time, found in spread places too."""
+    monkeypatch.setattr(recompression, "SEEN", 1)
+    monkeypatch.setattr(recompression, "OFTEN", often)
+    rng = np.random.default_rng(6)
+    own = lambda n: " ".join(f"u{k}" for k in rng.integers(0, 10**9, n))
+    line = " ".join(f"c{k}" for k in range(40))
+    short = " ".join(f"s{k}" for k in range(20))
+    texts = [f"{own(30 + k % 40)} {line} {own(20 + k % 30)}" for k in range(150)] + [f"{own(30)} {short} {own(40)}" for _ in range(120)] + [own(90) for _ in range(30)]
+    texts += [texts[0], texts[160]]
+    got, data = stripped(spark, texts)
+    assert got == strip_model(data)
+
+
+def test_word_names_are_their_own():
+    import pyarrow as pa
+
+    words = sorted({"".join(p)[:n] for n in (1, 2, 7, 8, 9, 14, 15, 16, 17, 40) for p in [("ab" * 20,), ("ba" * 20,), ("a" * 40,), ("\0" * 40,)]})
+    raw, offsets = utf8_buffer(pa.array(words))
+    high, low, _ = WordHasher().wide(raw, offsets)
+    assert len(set(high.tolist())) == len(set(low.tolist())) == len(words)
+    folded = WordHasher(fold_case=True).wide(*utf8_buffer(pa.array([w.upper() for w in words])))
+    assert folded[0].tolist() == high.tolist()
+
+
 def test_recompression_edges(spark):
     assert recompression.strip_repeats(empty(spark)).isEmpty()
     assert recompression.strip_repeats(clashing(spark), keep_text=True).count() == len(rows())
