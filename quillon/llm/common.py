@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,24 +37,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there.
+    """Write df to the shared checkpoint folder and go on from there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
 
-    The folder is the session's ``spark.checkpoint.dir``.
+def written(df: DataFrame) -> DataFrame:
+    """df from Parquet in the shared checkpoint folder, which goes when the driver ends.
+
+    Unlike after a checkpoint, nothing refers to the plan any more; the garbage
+    collection lets Spark delete the shuffle files that it left.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    try:  # events that still wait hold the plan
+        spark._jsc.sc().listenerBus().waitUntilEmpty(5000)
+    except Py4JJavaError:
+        pass  # a busy bus: the files go with a later collection
+    spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only in local mode, where driver and executors are one."""
+    """The session's ``spark.checkpoint.dir``; where it is unset, in local mode alone, a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="quillon-checkpoint-")
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    if not known.isDefined():
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
+        known = sc._jsc.sc().getCheckpointDir()
+    return (named or known.get()).rstrip("/")
 
 
 def small_side(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
@@ -174,10 +193,12 @@ class RunNames:
     def __init__(self, high: np.ndarray, low: np.ndarray, width: int):
         self.step = 1 << (width.bit_length() - 1)
         a, b = high, low
+        self.levels = [a]  # high halves of the names of the runs of 1, 2, 4, ... words
         half = 1
         while half < self.step:
             n = max(len(a) - half, 0)
             a, b = self._join(a[:n], b[:n], a[half:], b[half:])
+            self.levels.append(a)
             half *= 2
         self.high, self.low = a, b
 

@@ -18,8 +18,8 @@ A window without a symbol between its edges is its own anchor.
 Null and empty texts have no words. Repeated rows repeat each other's windows.
 Rows are told apart by doc_id and text; a null doc_id is an id like others.
 Words go by 128-bit names (their own bytes, or a BLAKE2 digest of a longer one),
-windows and spans by 128-bit names mixed from those in a tree; equal names are
-taken for equal words. An empty table gives no rows.
+windows and spans by names mixed from those in a tree, of which 96 bits are
+kept; equal names are taken for equal words. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import RunNames, WordHasher, cut, mix64, pieces, table, text_key, utf8_buffer
+from quillon.llm.common import RunNames, WordHasher, mix64, pieces, table, text_key, utf8_buffer, written
 
 WINDOW = 35
 PAIR_ROUNDS = 4
@@ -108,7 +108,13 @@ def symbols_of(names: np.ndarray, first: np.ndarray, rounds: int = PAIR_ROUNDS):
 
 
 def anchors(names: np.ndarray, low: np.ndarray, first: np.ndarray, width: int = WINDOW, rounds: int = PAIR_ROUNDS):
-    """Spans of windows that share an anchor: (anchor, two halves of the span's name, text, first and last window start as word positions)."""
+    """Spans of windows that share an anchor: (anchor, two halves of the span's name, text, first and last window start as word positions, sides).
+
+    An anchor of m words leaves width - m words of a window to its sides, so
+    equal windows of two spans share at least half of these on one of them.
+    `sides` holds a 16-bit name of as many words (a power of two) before the
+    anchor and one of those after it; 0 where the span does not reach so far.
+    """
     n = len(names)
     counts = np.diff(first)
     owner = np.repeat(np.arange(len(counts)), counts)
@@ -116,7 +122,7 @@ def anchors(names: np.ndarray, low: np.ndarray, first: np.ndarray, width: int =
     start = np.flatnonzero(np.arange(n) + width <= last_of)
     if not len(start):
         z = np.zeros(0, np.int64)
-        return *(np.zeros(0, np.uint64) for _ in range(3)), z, z, z
+        return *(np.zeros(0, np.uint64) for _ in range(3)), z, z, z, np.zeros(0, np.int32)
     sym, begins, lo, hi = symbols_of(names, first, rounds)
     m = len(sym)
     a, b = lo[start], hi[start + width]
@@ -146,17 +152,32 @@ def anchors(names: np.ndarray, low: np.ndarray, first: np.ndarray, width: int =
     i2 = start[np.append(np.flatnonzero(change)[1:], len(start)) - 1]
     chosen = pick[change]
     alone = chosen < 0
-    whole, rest = RunNames(names, low, width)(i1, i2 + width)
+    runs = RunNames(names, low, width)
+    whole, rest = runs(i1, i2 + width)
     safe = np.maximum(chosen, 0)
     name = np.where(alone, mix64(whole ^ _SIDE), mix64(sym[safe] + size[safe]))
     offset = np.where(alone, 0, begins[safe] - i1).astype(np.uint64)
-    return name, mix64(whole + offset), rest, owner[i1], i1 - first[owner[i1]], i2 - first[owner[i1]]
+    p, q = begins[safe], begins[safe + 1]
+    need = np.maximum(width - (q - p) + 1, 2) // 2
+    sides = []
+    for fits, at in ((p - need >= i1, p), (q + need <= i2 + width, q)):
+        value = np.zeros(len(i1), np.uint64)
+        for k in range(len(runs.levels)):
+            some = np.flatnonzero(fits & ~alone & (need >> k == 1))
+            value[some] = runs.levels[k][at[some] - ((1 << k) if at is p else 0)] >> np.uint64(48) | np.uint64(1)
+        sides.append(np.where(alone, np.uint64(1), value))
+    return name, mix64(whole + offset), rest, owner[i1], i1 - first[owner[i1]], i2 - first[owner[i1]], (sides[0] << np.uint64(16) | sides[1]).astype(np.uint32).view(np.int32)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _short(x: np.ndarray) -> pa.Array:
+    """The high half of each number."""
+    return pa.array((x >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
+
 def _parts(batch: pa.RecordBatch):
     """(rows a to b, their bytes, offsets within these) of a batch, piece by piece."""
     raw, offsets = utf8_buffer(batch.column(batch.schema.get_field_index("text")))
@@ -165,50 +186,51 @@ def _parts(batch: pa.RecordBatch):
         yield a, b, raw[part[0] : part[-1]], part - part[0]
 
 
-def _mark(batch: pa.RecordBatch, rows: np.ndarray, i1: np.ndarray) -> np.ndarray:
-    """A number for the place of each span, the same whenever it is asked for."""
-    k1, k2 = (batch.column(k).to_numpy()[rows].view(np.uint64) for k in (0, 1))
-    return (mix64(k1 * np.uint64(0x9E3779B97F4A7C15) + k2 + i1.astype(np.uint64) * _SIDE) >> np.uint64(33)).astype(np.int32)
+def _mark(k2: np.ndarray) -> np.ndarray:
+    """A number for a row, of which the least stands for a span's occurrences."""
+    return (k2.view(np.uint64) >> np.uint64(48)).astype(np.int32)
 
 
 def count_spans(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(s, u, v, c, r): anchors, their spans, how often each occurs, and the least place mark; counted within pieces before the shuffle."""
+    """(s, u, v, c, r): anchors, their spans, how often each occurs, and the least mark of their rows; counted within pieces before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             for a, _, raw, offsets in _parts(batch):
-                s, u, v, who, i1, _ = anchors(*hasher.wide(raw, offsets), width)
+                s, u, v, who, *_ = anchors(*hasher.wide(raw, offsets), width)
                 if not len(s):
                     continue
-                r = _mark(batch, who + a, i1)
+                r = _mark(batch.column(1).to_numpy())[who + a]
+                v >>= np.uint64(32)
+                v <<= np.uint64(32)
                 order = np.lexsort((v, u, s))
                 s, u, v, r = s[order], u[order], v[order], r[order]
                 fresh = np.ones(len(s), bool)
                 fresh[1:] = (s[1:] != s[:-1]) | (u[1:] != u[:-1]) | (v[1:] != v[:-1])
                 at = np.flatnonzero(fresh)
                 c = np.diff(np.append(at, len(s)))
-                yield pa.record_batch([_signed(s[at]), _signed(u[at]), _signed(v[at]), pa.array(c, pa.int32()), pa.array(np.minimum.reduceat(r, at))], names=["s", "u", "v", "c", "r"])
+                yield pa.record_batch([_signed(s[at]), _signed(u[at]), _short(v[at]), pa.array(c, pa.int32()), pa.array(np.minimum.reduceat(r, at))], names=["s", "u", "v", "c", "r"])
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "s long, u long, v long, c int, r int")
+    return docs.select("k1", "k2", "text").mapInArrow(run, "s long, u long, v int, c int, r int")
 
 
 def spans(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(k1, k2, s, u, v, i1, i2, r): each row's spans."""
+    """(k1, k2, s, u, v, i1, i2, lr): each row's spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             for a, _, raw, offsets in _parts(batch):
-                s, u, v, who, i1, i2 = anchors(*hasher.wide(raw, offsets), width)
+                s, u, v, who, i1, i2, lr = anchors(*hasher.wide(raw, offsets), width)
                 if len(s):
                     rows = pa.array(who + a)
                     yield pa.record_batch(
-                        [batch.column(0).take(rows), batch.column(1).take(rows), _signed(s), _signed(u), _signed(v), pa.array(i1, pa.int32()), pa.array(i2, pa.int32()), pa.array(_mark(batch, who + a, i1), pa.int32())],
-                        names=["k1", "k2", "s", "u", "v", "i1", "i2", "r"],
+                        [batch.column(0).take(rows), batch.column(1).take(rows), _signed(s), _signed(u), _short(v), pa.array(i1, pa.int32()), pa.array(i2, pa.int32()), pa.array(lr)],
+                        names=["k1", "k2", "s", "u", "v", "i1", "i2", "lr"],
                     )
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, s long, u long, v long, i1 int, i2 int, r int")
+    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, s long, u long, v int, i1 int, i2 int, lr int")
 
 
 def common_anchors(docs: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -223,7 +245,7 @@ def common_anchors(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
 
 def _window_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(k1, k2, s, w, x, i, n) for the spans listed in each row's `open`; n counts 2 for a settled span's stand-in."""
+    """(k1, k2, w, x, i, n) for the spans listed in each row's `open`; n counts 2 for a settled span's stand-in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -236,7 +258,7 @@ def _window_rows(docs: DataFrame, width: int) -> DataFrame:
                 if not len(flat):
                     continue
                 names, low, first = hasher.wide(raw, offsets)
-                i1, i2, s, times = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("i1", "i2", "s", "n"))
+                i1, i2, times = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("i1", "i2", "n"))
                 who = np.repeat(np.arange(b - a), n)
                 size = (i2 - i1 + 1).astype(np.int64)
                 of = np.repeat(np.arange(len(size)), size)
@@ -245,9 +267,9 @@ def _window_rows(docs: DataFrame, width: int) -> DataFrame:
                 w, x = RunNames(names, low, width)(at, at + width)
                 rows = pa.array(who[of] + a)
                 k1, k2 = (batch.column(batch.schema.get_field_index(k)).take(rows) for k in ("k1", "k2"))
-                yield pa.record_batch([k1, k2, pa.array(s[of]), _signed(w), _signed(x), pa.array(i, pa.int32()), pa.array(times[of], pa.int32())], names=["k1", "k2", "s", "w", "x", "i", "n"])
+                yield pa.record_batch([k1, k2, _signed(w), _short(x), pa.array(i, pa.int32()), pa.array(times[of], pa.int32())], names=["k1", "k2", "w", "x", "i", "n"])
 
-    return docs.mapInArrow(run, "k1 long, k2 long, s long, w long, x long, i int, n int")
+    return docs.mapInArrow(run, "k1 long, k2 long, w long, x int, i int, n int")
 
 
 def _stripped(docs: DataFrame, width: int, digest: bool, keep_text: bool) -> DataFrame:
@@ -315,27 +337,29 @@ def strip_repeats(docs: DataFrame, width: int = WINDOW, digest: bool = False, ke
     # One shuffle by anchor: spans that occur twice, and whether some span of an anchor does not. The spans of a
     # common anchor are spread; it occurs again wherever it does, and its settled spans are compared in any case.
     counted = count_spans(keyed, width).join(F.broadcast(common_anchors(keyed, width)), "s", "left")
-    counted = counted.withColumn("salt", F.when(F.col("common"), F.pmod("u", F.lit(SALTS))).otherwise(0).cast("int"))
-    counted = counted.repartition("s", "salt").groupBy("s", "salt", "common", "u", "v").agg(F.sum("c").alias("c"), F.min("r").alias("r"))
+    counted = counted.withColumn("salt", F.when(F.col("common"), 1 + F.pmod("u", F.lit(SALTS))).otherwise(0).cast("int")).drop("common")
+    counted = counted.repartition("s", "salt").groupBy("s", "salt", "u", "v").agg(F.sum("c").alias("c"), F.min("r").alias("r"))
     place = Window.partitionBy("s", "salt")
-    state = counted.withColumns({"total": F.sum("c").over(place), "single": F.min("c").over(place) == 1}).where("common OR total > 1")
-    state = state.select("s", "u", "v", (F.col("c") > 1).alias("settled"), F.when(F.col("common") | F.col("single"), F.col("r")).alias("r"))
-    # Windows of unsettled spans are compared, with each other and with those of one occurrence of each settled span.
+    state = counted.withColumns({"total": F.sum("c").over(place), "single": F.min("c").over(place) == 1}).where("salt > 0 OR total > 1")
+    state = state.select("s", "u", "v", (F.col("c") > 1).alias("settled"), F.when((F.col("salt") > 0) | F.col("single"), F.col("r")).alias("r"))
+    # Windows of unsettled spans are compared, with each other and with those of one occurrence of each settled span,
+    # where another span has the same words on one side of the anchor.
     found = spans(keyed, width).join(state.withColumnRenamed("r", "least"), ["s", "u", "v"])
-    found = found.withColumn("compare", F.col("r") == F.col("least"))
-    found = found.groupBy("k1", "k2").agg(
-        F.collect_set(F.when(F.col("settled"), F.struct("i1", "i2"))).alias("settled"),
-        F.collect_set(F.when(F.col("compare"), F.struct("i1", "i2", "s", F.when(F.col("settled"), 2).otherwise(1).alias("n")))).alias("open"),
-    )
-    found = cut(found)
+    found = written(found.select("k1", "k2", "s", "i1", "i2", "settled", (F.shiftrightunsigned("k2", 48) == F.col("least")).alias("compare"), "lr"))
+    times = F.when(F.col("settled"), 2).otherwise(1)
+    sides = F.array(F.struct(F.lit(0).alias("d"), F.shiftrightunsigned("lr", 16).alias("z")), F.struct(F.lit(1).alias("d"), F.col("lr").bitwiseAND(0xFFFF).alias("z")))
+    sided = found.where("compare").select("*", F.explode(F.filter(sides, lambda x: x["z"] != 0)).alias("side"))
+    met = sided.groupBy("s", "side").agg(F.sum(times).alias("n"), F.count_if(~F.col("settled")).alias("open")).where("n > 1 AND open > 0").select("s", "side")
+    opened = sided.join(met, ["s", "side"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("i1", "i2", times.alias("n"))).alias("open"))
     dealt = keyed.repartition("k1", "k2")  # the texts are dealt once for both joins
-    open_rows = found.where(F.size("open") > 0).select("k1", "k2", "open")
-    compared = _window_rows(dealt.join(open_rows, ["k1", "k2"]), width)
-    repeated = compared.groupBy("s", "w", "x").agg(F.sum("n").alias("n")).where("n > 1").select("s", "w", "x")
-    hit = compared.where("n = 1").join(repeated, ["s", "w", "x"]).groupBy("k1", "k2").agg(F.collect_set("i").alias("hits"))
+    compared = _window_rows(dealt.join(opened, ["k1", "k2"]), width)
+    repeated = compared.groupBy("w", "x").agg(F.sum("n").alias("n")).where("n > 1").select("w", "x")
+    hit = compared.where("n = 1").join(repeated, ["w", "x"]).groupBy("k1", "k2").agg(F.collect_set("i").alias("hits"))
     single = F.transform("hits", lambda i: F.struct(i.alias("i1"), i.alias("i2")))
-    ranges = found.select("k1", "k2", "settled").join(hit, ["k1", "k2"], "left")
-    ranges = ranges.select("k1", "k2", F.concat("settled", F.coalesce(single, F.array().cast("array<struct<i1:int,i2:int>>"))).alias("covered"))
+    settled = found.where("settled").groupBy("k1", "k2").agg(F.collect_set(F.struct("i1", "i2")).alias("settled"))
+    none = F.array().cast("array<struct<i1:int,i2:int>>")
+    ranges = settled.join(hit, ["k1", "k2"], "full")
+    ranges = ranges.select("k1", "k2", F.concat(F.coalesce("settled", none), F.coalesce(single, none)).alias("covered"))
     return _stripped(dealt.join(ranges, ["k1", "k2"], "left"), width, digest, keep_text)
 
 
