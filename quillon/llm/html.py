@@ -9,9 +9,12 @@ path taken, or under its own enclosing container, below the body, where that
 holds the winning one. A page without that path falls back on its own vote.
 
 Boilerplate by tag, role or class (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, comments) is never text. Null or empty html
-gives an empty text; a null url is a host of its own. Pages that repeat are
-read each by itself. Unclosed and stray tags are tolerated.
+adverts, forms, scripts, styles, comments) is never text, but for a form, or an
+element marked by a part of its class, that holds most of the text of a page
+without article and main. Null or
+empty html gives an empty text; a null url is a host of its own. Pages that
+repeat are read each by itself. Unclosed and stray tags are tolerated; the time
+taken grows as the page does.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import cut, small_side, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
+#: A comment, a tag (quotes count after an equals sign alone), or a declaration. Nothing is tried twice within one.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|<[!?][^>]*+>", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -40,7 +44,22 @@ MARKED = frozenset(
     " ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments respond reply replies disqus discussion form search share sharing"
     " social related recommended breadcrumb breadcrumbs newsletter subscribe signup popup modal overlay toolbar pagination pager widget".split()
 )
-CLOSES_P = BLOCKS - {"br"}
+#: Marks of readers' comments, which stay marks even where they hold most of a page.
+COMMENTS = frozenset("comment comments respond reply replies disqus discussion".split())
+#: Whole classes that speak for the article, and parts of a class that only state something about its page.
+SPEAKS = frozenset("content article post entry main story body text page wrapper container".split())
+STATES = frozenset("has no with without is not open opened closed enabled disabled on off".split())
+CLOSES_P = BLOCKS - {"br", "caption", "legend", "option"}
+#: What a start tag closes that is still open, and where it stops looking.
+_CELLS, _TABLES = frozenset(("td", "th")), frozenset(("table",))
+CLOSES = {
+    "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))), "dd": (frozenset(("dd", "dt")), frozenset(("dl",))), "dt": (frozenset(("dd", "dt")), frozenset(("dl",))),
+    "td": (_CELLS, _TABLES | {"tr"}), "th": (_CELLS, _TABLES | {"tr"}), "tr": (frozenset(("tr",)), _TABLES),
+    "tbody": (frozenset(("tbody", "tr")), _TABLES), "thead": (frozenset(("tbody", "tr")), _TABLES), "tfoot": (frozenset(("tbody", "tr")), _TABLES),
+}
+_P = frozenset(("p",))
+#: Containers that are nested deeper belong to the one at this depth.
+MOST_DEEP = 200
 #: A container is left for one within it that holds all but one in so many parts of the page's score.
 REST = 20
 TOPS = ("", "html", "body")
@@ -51,15 +70,27 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): entities.unescape(v.strip("\"'")) if v else "" for k, v in ATTRIBUTE.findall(text)}
 
 
-def _boilerplate(tag: str, attrs: dict[str, str]) -> bool:
+def _boilerplate(tag: str, attrs: dict[str, str]) -> str:
+    """How sure it is that an element is not the article: "" for not at all, "soft" unless it holds most of the page, "hard"."""
+    if tag == "form":
+        return "soft"
     if tag in DROPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return True
+        return "hard"
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
-        return True
+        return "hard"
     if tag in ("html", "body", "main", "article"):
-        return False
-    words = re.split(r"[^a-z]+", " ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower())
-    return not MARKED.isdisjoint(words)
+        return ""
+    names = " ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower().split()
+    speaks = not SPEAKS.isdisjoint(names)
+    how = ""
+    for name in names:
+        parts = [x for x in re.split(r"[^a-z]+", name) if x]
+        found = MARKED.intersection(parts)
+        if found and (len(parts) < 2 or found & COMMENTS and not speaks and STATES.isdisjoint(parts)):
+            return "hard"  # a mark by itself, or comments
+        if found and not speaks and STATES.isdisjoint(parts):
+            how = "soft"
+    return how
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
@@ -72,68 +103,109 @@ class Page:
     """A page as pieces of text, each with the container that it stands in."""
 
     def __init__(self, source: str):
-        self.paths: list[str] = [""]
-        self.parents: list[int] = [-1]
-        self.pieces: list[tuple[int, str, bool]] = []  # container, text (a space at a block's edge), within a link
-        self.titles: list[tuple[int, int]] = []  # container, first piece
-        self._read(source)
-
-    def _read(self, source: str) -> None:
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, dropped
-        links = at = 0
-        end, raw_end = len(source), None
+        spared: set[int] = set()  # places of marked elements that hold most of the page
+        while True:
+            self.paths: list[str] = [""]
+            self.parents: list[int] = [-1]
+            self.pieces: list[tuple[int, str, bool]] = []  # container, text (a space at a block's edge), within a link
+            self.titles: list[tuple[int, int]] = []  # container, first piece
+            marked = self._read(source, spared)
+            most, at = max(((n, at) for at, n in marked.items()), default=(0, 0))
+            if any(re.search(r"/(?:article|main)\b", self.paths[c]) for c, t, _ in self.pieces if t.strip()) or most <= sum(len(t.strip()) for _, t, linked in self.pieces if not linked):
+                break
+            spared.add(at)
+
+    def _read(self, source: str, spared: set[int]) -> Counter:
+        """Fill the page; the unlinked text of each outermost element dropped for its soft mark, by its place."""
+        # tag, container, 0 or what it is dropped for: -1, or 1 + the place of the softly marked element
+        stack: list[tuple[str, int, int]] = [("", 0, 0)]
+        opened: Counter = Counter()
+        marked: Counter = Counter()
+        links = at = begin = 0
+        end, last = len(source), source.rfind(">")
+
+        def edge() -> None:
+            if not stack[-1][2]:
+                self.pieces.append((stack[-1][1], " ", False))
+
+        def close(tags: frozenset[str], until: frozenset[str]) -> None:
+            """Pop through the nearest open element of `tags`, if none of `until` is nearer."""
+            if not any(opened[t] for t in tags):
+                return
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] in tags:
+                    for t, *_ in stack[k:]:
+                        opened[t] -= 1
+                    del stack[k:]
+                    return
+                if stack[k][0] in until:
+                    return
+
+        def text(stop: int) -> None:
+            if stop > begin:
+                if not stack[-1][2]:
+                    self.pieces.append((stack[-1][1], entities.unescape(source[begin:stop]), links > 0))
+                elif stack[-1][2] > 0 and not links:
+                    marked[stack[-1][2] - 1] += len(source[begin:stop].strip())
+
         while at < end:
-            if raw_end:
-                m = re.compile(rf"</{raw_end}\s*>?", re.I).search(source, at)
-                at, raw_end = (m.start() if m else end), None
-                continue
-            m = TOKEN.search(source, at)
-            stop = m.start() if m else end
-            if stop > at and not stack[-1][2]:
-                self.pieces.append((stack[-1][1], entities.unescape(source[at:stop]), links > 0))
-            if not m:
+            start = source.find("<", at)
+            if start < 0 or start > last and not source.startswith("<!--", start):
                 break
-            at = m.end()
+            m = TOKEN.match(source, start)
+            if not m:
+                at = start + 1
+                continue
+            text(start)
+            begin = at = m.end()
             if not m[2]:
                 continue
             tag = m[2].lower()
+            if tag in CLOSES_P:
+                close(_P, CONTAINERS)
+            if not m[1] and tag in CLOSES:
+                close(*CLOSES[tag])
             block = tag in BLOCKS
-            if block and not stack[-1][2]:
-                self.pieces.append((stack[-1][1], " ", False))
+            if block:
+                edge()
             if m[1]:
                 if tag == "a":
                     links = max(0, links - 1)
-                elif any(x[0] == tag for x in stack):
-                    while stack[-1][0] != tag:
-                        stack.pop()
-                    stack.pop()
-                    if block and not stack[-1][2]:
-                        self.pieces.append((stack[-1][1], " ", False))
+                elif opened[tag]:
+                    close(frozenset((tag,)), frozenset())
+                    if block:
+                        edge()
                 continue
             if tag == "a":
                 links += not m[3].endswith("/")
                 continue
             if tag in VOID or m[3].endswith("/"):
                 continue
-            if tag == "h1" and not stack[-1][2]:
+            dropped = stack[-1][2]
+            if tag == "h1" and not dropped:
                 self.titles.append((stack[-1][1], len(self.pieces)))
             inside = tag in CONTAINERS
-            attrs = _attributes(m[3]) if m[3].strip() else {}
-            dropped = stack[-1][2] or _boilerplate(tag, attrs)
+            attrs = _attributes(m[3]) if m[3].strip() and not dropped else {}
+            if not dropped and (how := _boilerplate(tag, attrs)) and not (how == "soft" and start in spared):
+                dropped = start + 1 if how == "soft" else -1
+            elif dropped > 0 and tag in DROPPED and tag != "form":
+                dropped = -1
             if tag in RAW:
-                raw_end = tag
+                found = re.compile(rf"</{tag}\s*>?", re.I).search(source, at)
+                begin = at = found.start() if found else end
             if not (inside or dropped):
                 continue  # an inline tag or a paragraph: only its edge matters
             container = stack[-1][1]
-            if inside and not dropped:
+            if inside and not dropped and len(stack) <= MOST_DEEP:
                 self.paths.append(f"{self.paths[container]}/{_step(tag, attrs)}")
                 self.parents.append(container)
                 container = len(self.paths) - 1
-            if tag in ("li", "td", "th", "tr", "dd") and stack[-1][0] == tag:
-                stack.pop()
             stack.append((tag, container, dropped))
+            opened[tag] += 1
+        text(end)
+        return marked
 
-    def scores(self) -> dict[int, int]:
+    def scores(self, linked_costs: int = 3) -> dict[int, int]:
         """A positive score for each container whose own text looks like an article's."""
         text, link, blocks = Counter(), Counter(), Counter()
         run = 0
@@ -148,10 +220,10 @@ class Page:
         out = {}
         for c, n in text.items():
             bonus = 2 if re.search(r"/(?:article|main)\b", self.paths[c]) else 1
-            score = (n - 3 * link[c] + 25 * blocks[c]) * bonus
+            score = (n - linked_costs * link[c] + 25 * blocks[c]) * bonus
             if score > 0:
                 out[c] = score
-        return out
+        return out or (self.scores(0) if linked_costs else out)  # a page that is all links
 
     def article(self, path: str) -> str:
         """A container's path, cut at the first article or main within it."""
@@ -209,7 +281,7 @@ class Page:
                 return found
         votes = self.votes()
         if not votes:
-            return ""
+            return self.under("")
         return self.under(max(votes, key=lambda p: (votes[p], p)))
 
 
@@ -237,7 +309,7 @@ def consensus(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """pages' page_id and url with text and n_chars, from the whole html."""
     winners, _ = small_side(cut(consensus(pages)), HOSTS_BROADCAST)
-    joined = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of().alias("host")).join(winners, "host", "left")
+    joined = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string").alias("html"), host_of().alias("host")).join(winners, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

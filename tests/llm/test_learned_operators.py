@@ -240,3 +240,69 @@ def test_html_edges(spark):
     assert got[1] == ("", 0) and got[2] == ("", 0) and got[3][0] == "plain text é here" and got[4][0] == "cut off in the mid"
     assert got[6][0] == "" and got[None][0] == "one two" and got[7][0] == "deep text stands here" and got[8][0] == ""
     assert html.extract(pages(spark, [])).isEmpty()
+
+
+ODD = {
+    "state": '<body><div class="content has-sidebar"><p>{0}</p></div></body>',
+    "post": '<body><div class="post comments-open"><p>{0}</p></div></body>',
+    "form": '<body><form id="aspnetForm"><input><div><p>{0}</p></div></form></body>',
+    "paragraph": '<body><article><p class="ad">Buy<p>{0}</article></body>',
+    "item": '<body><article><ul><li class="ad">x<li>{0}</ul></article></body>',
+    "link": '<body><div><a href="x"><p>{0}</p></a></div></body>',
+    "cells": '<body><table><tr><td class="ad">buy<td><p>{0}<tr><td class="ad">more</table></body>',
+    "comments": '<body><div class="post"><p>{0}</p></div><div class="post-comments"><p>{0} {0} {0}</p></div></body>',
+    "side": '<body><div class="site-footer">{0}</div><div><p>{0} and</p> <p>{0} more</p></div></body>',
+}
+
+
+@pytest.mark.parametrize("name", sorted(ODD))
+def test_html_keeps_the_article(name):
+    body = " ".join(LONG.format(k) for k in range(3))
+    want = f"{body} and {body} more" if name == "side" else body
+    assert html.Page(ODD[name].format(body)).text(None) == want
+
+
+@pytest.mark.parametrize("unit", ['<a "', '<a ="', "<!", "<div>", "<p class=ad>", "<td>", "</div>", "<a b='", "<li>x", "<b>", "x", "&amp;", "<div><p class=ad>"])
+def test_html_long_pages_take_time_in_proportion(unit):
+    import time
+
+    def seconds(size):
+        began = time.process_time()
+        html.Page(unit * (size // len(unit))).text(None)
+        return time.process_time() - began
+
+    seconds(10_000)
+    assert seconds(1 << 20) < max(2.0, 16 * seconds(1 << 17))
+
+
+def generated(rng, host):
+    """A page and its article, of parts in the manner of `host`."""
+    shell = host % 4
+    blocks, text = [], []
+    for k in range(rng.randrange(3, 8)):
+        words = prose(rng, rng.randrange(15, 60))
+        shown = words.replace(" ", rng.choice([" ", "\n ", " <b>", " <!-- ad --> "]), 1)
+        shown = shown + ("</b>" if "<b>" in shown else "")
+        tag = rng.choice(["p", "p", "p", "h2", "blockquote", "div"])
+        blocks.append(f"<{tag}>{shown}" + ("" if tag == "p" and rng.random() < 0.3 else f"</{tag}>"))
+        text.append(words)
+        noise = rng.choice(["", "", '<div class="ad">buy now</div>', '<form><label>mail</label><input></form>', "<script>x('<p>no</p>')</script>", '<aside><p>by the way</p></aside>', '<div class="share-buttons">tell all</div>'])
+        blocks.append(noise)
+    title = prose(rng, 5)
+    inner = f"<h1>{title}</h1>" + "".join(blocks)
+    frame = ["<article>{}</article>", '<main class="m"><div class="body">{}</div></main>', '<div class="content">{}</div>', '<div id="wrap"><div class="post-{}">{{}}</div></div>'.format(rng.randrange(99))][shell].format(inner)
+    menu = "".join(f'<li><a href="/{k}">{prose(rng, 2)}</a>' for k in range(6))
+    page = f'<!DOCTYPE html><html><head><title>t</title></head><body><nav><ul>{menu}</ul></nav>{frame}<div class="comments"><p>{prose(rng, 40)}</p></div><footer>&copy; foot</footer></body></html>'
+    return page, " ".join([title, *text])
+
+
+def test_html_equals_the_generated_articles(spark):
+    rng = random.Random(12)
+    made = [(n, f"https://h{n % 8}.example/{n}", *generated(rng, n % 8)) for n in range(160)]
+    got = {r.page_id: r.text for r in html.extract(pages(spark, [r[:3] for r in made])).collect()}
+    assert {n: (got[n], t) for n, _, _, t in made if got[n] != t} == {}
+
+
+def test_html_casts_its_ids(spark):
+    df = spark.createDataFrame([(1, "http://a/", "<p>some text</p>")], "page_id int, url string, html string")
+    assert [tuple(r) for r in html.extract(df).collect()] == [(1, "http://a/", "some text", 9)]
