@@ -8,7 +8,6 @@ rule whose usage is the number of its line items.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,7 +18,7 @@ from quillon.functions.hashing import as_hex, hash_rule, hash_symbols
 from quillon.functions.symbols import to_trail
 from quillon.operators import encoding, hierarchy, integrity, interleave, mining, parity, policy, simulate
 from quillon.operators.mining import Gate, Rule
-from quillon.plans.lineage import cut, spread
+from quillon.plans.lineage import cut, global_ranks, shared_folder, spread
 from quillon.sources import generators, readers, snapshot
 from quillon.streaming import online
 
@@ -31,7 +30,11 @@ FIXED = [
 ]
 LAYERS = 3
 BLOCK = 8
-TRAINED = 3
+#: The reference's budgets of training: one dictionary, what consolidation adds to one, retraining in steps, and by capacity.
+TRAINED, ADDED, STEPS, RETRAINED = 128, 64, 12, 128
+CAPACITIES = (64, 128, 256, 512)
+#: Rules of the queries that show the start of a longer training.
+FIRST = 16
 #: The reference's budgets of online learning: rules a sample, and where samples come in several orders.
 ONLINE, ONLINE_ORDERS = 16, 24
 #: The reference's budget of each cycle's consolidation.
@@ -107,9 +110,23 @@ def train_rules(spark, d):
     return mining.rules_frame(spark, mining.train(_documents(spark, d), TRAINED, GATE))
 
 
-def consolidate_rules(spark, d):
+def train_first(spark, d):
+    """The first rules of train_rules, as many as SQL finds in time."""
+    return mining.rules_frame(spark, mining.train(_documents(spark, d), FIRST, GATE))
+
+
+def _consolidated(spark, d, budget):
     trails = _encoded(spark, d).select(F.col("encoded").alias("z"))
-    return mining.rules_frame(spark, mining.consolidate(trails, FIXED, 2, GATE)[len(FIXED):])
+    return mining.rules_frame(spark, mining.consolidate(trails, FIXED, budget, GATE)[len(FIXED):])
+
+
+def consolidate_rules(spark, d):
+    return _consolidated(spark, d, ADDED)
+
+
+def consolidate_first(spark, d):
+    """The first rules of consolidate_rules, as many as SQL finds in time."""
+    return _consolidated(spark, d, FIRST)
 
 
 # --- encoding ---------------------------------------------------------------
@@ -135,7 +152,7 @@ def rules_per_kib(spark, d):
 
 def decode_roundtrip(spark, d):
     content = encoding.decode(F.col("encoded"), FIXED)
-    return _encoded(spark, d).select("doc_id", F.octet_length(content).cast("long").alias("bytes"), (content == F.encode("z", "ISO-8859-1")).alias("exact"))
+    return _encoded(spark, d).select("doc_id", F.octet_length(content).cast("long").alias("bytes"), F.md5(content).alias("md5"))
 
 
 def compiled_encode(spark, d):
@@ -184,7 +201,7 @@ def hier_roundtrip(spark, d):
     known = cut(hierarchy.relations(nodes))
     back = hierarchy.decode(hierarchy.encode(samples, known, LAYERS), known)
     joined = samples.join(back.withColumnRenamed("h", "back"), samples["sample_ord"] == back["ord"], "left")
-    return joined.select(F.col("sample_ord").alias("doc_id"), (F.col("h") == F.coalesce("back", F.lit(""))).alias("exact"))
+    return joined.select(F.col("sample_ord").alias("doc_id"), F.md5(F.unhex(F.coalesce("back", F.lit("")))).alias("md5"))
 
 
 # --- integrity --------------------------------------------------------------
@@ -422,8 +439,7 @@ def zipf_usage(spark, d):
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-")
-    return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def snapshot_roundtrip(spark, d):
@@ -432,8 +448,7 @@ def snapshot_roundtrip(spark, d):
     path = _shared_folder(spark)
     snapshot.save_tables(rules, trails, path)
     _, back = snapshot.load_tables(spark, path)
-    joined = trails.join(back.withColumnRenamed("symbols", "again"), "trail_id")
-    return joined.select("trail_id", F.size("symbols").cast("long").alias("n"), (F.col("symbols") == F.col("again")).alias("exact"))
+    return back.select("trail_id", F.size("symbols").cast("long").alias("n"), F.md5(F.array_join(F.col("symbols").cast("array<string>"), ",").cast("binary")).alias("md5"))
 
 
 # --- learning loops, over the benchmark table --------------------------------
@@ -459,26 +474,26 @@ def stream_rules(spark, d):
 
 
 def retention_check(spark, d):
-    """Every trail, stored when its sample arrived, still decodes after all later learning."""
-    rules, rows = [], []
-    for k, sample in enumerate(online.in_order(_items(spark, d), "item_id", "content")):
-        rows.append((k, online.encode_one(sample, rules), sample))
-        rules += online.learn_sample(sample, rules, 4, GATE)
-    stored = spark.createDataFrame(rows, "ord long, encoded string, content binary")
-    return stored.select("ord", (encoding.decode(F.col("encoded"), rules) == F.col("content")).alias("exact"))
+    """Every trail, encoded by the rules known when its sample arrived, still decodes after all later learning."""
+    rules, steps = online.learn_online(_items(spark, d), "item_id", "content", max_new=ONLINE, gate=GATE)
+    known = [sum(n for n, _ in steps[:k]) for k in range(len(steps))]
+    ranked = global_ranks(_items(spark, d), "item_id")
+    at = spark.createDataFrame(list(enumerate(known)), "rank long, known int")  # a row per sample, two numbers
+    z = F.decode("content", "ISO-8859-1")
+    stored = ranked.join(at, "rank").select(F.col("rank").alias("ord"), mining.apply_rules(z, rules, F.col("known")).alias("encoded"))
+    return stored.select("ord", F.md5(encoding.decode(F.col("encoded"), rules)).alias("md5"))
 
 
 def incremental_growth(spark, d):
-    """Retraining on all items seen so far, an eighth of them at a time."""
-    rows = list(online.in_order(_items(spark, d), "item_id", "content"))
-    out, before = [], 0
-    for step in range(1, 9):
-        seen = rows[: len(rows) * step // 8]
+    """Retraining on all items seen so far, a twelfth of them at a time."""
+    ranked = cut(global_ranks(_items(spark, d), "item_id"))
+    total, out, before = ranked.count(), [], 0
+    for step in range(1, STEPS + 1):
+        seen = total * step // STEPS
         if not seen:
             continue
-        samples = spark.createDataFrame([(x.decode("latin-1"),) for x in seen], "z string")
-        n = len(mining.train(samples, 4, GATE))
-        out.append((step, len(seen), n, max(n - before, 0)))
+        n = len(mining.train(ranked.where(F.col("rank") < seen).select(F.decode("content", "ISO-8859-1").alias("z")), RETRAINED, GATE))
+        out.append((step, seen, n, max(n - before, 0)))
         before = n
     return spark.createDataFrame(out, "step int, samples long, rules long, growth long")
 
@@ -486,9 +501,9 @@ def incremental_growth(spark, d):
 def capacity_sweep(spark, d):
     """Cost by capacity; a smaller budget's dictionary is the start of a larger one's."""
     samples = _items(spark, d).select(F.decode("content", "ISO-8859-1").alias("z"))
-    rules = mining.train(samples, 12, GATE)
+    rules = mining.train(samples, max(CAPACITIES), GATE)
     out = None
-    for capacity in (2, 4, 8, 12):
+    for capacity in CAPACITIES:
         e = encoding.encode(samples, rules[:capacity]).agg(F.round(F.avg(encoding.symbol_cost(F.col("trail_length"), F.col("input_bytes"))), 9).alias("cost"))
         one = e.select(F.lit(capacity).alias("capacity"), F.lit(min(capacity, len(rules))).alias("rules"), "cost")
         out = one if out is None else out.unionByName(one)
@@ -534,7 +549,7 @@ def multicycle(spark, d):
 
 
 _QUERIES = (
-    pair_counts, pair_scores, best_pair, pair_frequency, replace_pair, train_rules, consolidate_rules,
+    pair_counts, pair_scores, best_pair, pair_frequency, replace_pair, train_rules, train_first, consolidate_rules, consolidate_first,
     encode_fixed_rules, encode_cost, rules_per_kib, decode_roundtrip, compiled_encode, trie_node_count,
     hier_relations, hier_ref_counts, hier_trail_len, hier_cost, hier_roundtrip,
     rule_hash, trail_hash, trail_block_hash, corrupted_rules, corrupted_blocks, verify_trail,

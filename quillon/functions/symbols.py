@@ -11,17 +11,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FIRST_RULE = 256
-_GAP_AT, _GAP = 0xD800, 0x800
+GAP_AT, GAP = 0xD800, 0x800
 
 
 def char_of(symbol: int) -> str:
-    return chr(symbol if symbol < _GAP_AT else symbol + _GAP)
+    return chr(symbol if symbol < GAP_AT else symbol + GAP)
 
 
 def symbol_of(char: Column) -> Column:
     """The id of a one-symbol string."""
     code = F.ascii(char)
-    return F.when(code < _GAP_AT, code).otherwise(code - _GAP).cast("long")
+    return F.when(code < GAP_AT, code).otherwise(code - GAP).cast("long")
 
 
 def from_bytes(content: Column) -> Column:
@@ -44,5 +44,5 @@ def to_trail(z: Column) -> Column:
 
 def from_trail(trail: Column) -> Column:
     """A symbol string of an array of ids."""
-    code = lambda s: F.when(s < _GAP_AT, s).otherwise(s + _GAP)
+    code = lambda s: F.when(s < GAP_AT, s).otherwise(s + GAP)
     return F.array_join(F.transform(trail, lambda s: F.decode(F.unhex(F.lpad(F.hex(code(s)), 8, "0")), "UTF-32")), "")

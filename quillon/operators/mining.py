@@ -5,20 +5,30 @@ score is its count times its lift, the count over what its two sides' own
 counts would lead one to expect. The best pair becomes a rule, its occurrences
 are replaced from left to right, and mining goes on.
 
-Samples are rows with a symbol string `z` (quillon.functions.symbols). Each
-round is one job: pairs are counted with map-side combination, and the rest
-works on the distinct pairs, of which there are at most (256 + rules) squared.
+Samples are rows with a symbol string `z` (quillon.functions.symbols). Counting,
+scoring and replacing are column expressions; a whole dictionary is mined in
+numpy on the executors, since a rule changes few counts, which column
+expressions would have to count anew.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.symbols import FIRST_RULE, char_of, chars, symbol_of
-from quillon.plans.lineage import cut
+from quillon.functions.symbols import FIRST_RULE, GAP, GAP_AT, char_of, chars, symbol_of
+from quillon.plans.lineage import cut, importable
+
+#: Stands between the samples of a batch; symbols are below 2^21, as code points are.
+_END = 0xFFFFFFFF
+_SHIFT = 32
+#: Symbols that the driver guesses from.
+SAMPLE = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -95,34 +105,176 @@ def replace_pair(z: Column, left: int, right: int, symbol: int) -> Column:
     return F.replace(z, F.lit(char_of(left) + char_of(right)), F.lit(char_of(symbol)))
 
 
-def apply_rules(z: Column, rules: list[Rule]) -> Column:
-    """Every rule once, in order, over the whole symbol string."""
+def apply_rules(z: Column, rules: list[Rule], known: Column | None = None) -> Column:
+    """Every rule once, in order, over the whole symbol string; or only the first `known` of them."""
     if not rules:
         return z
     table = F.array(*[F.struct(F.lit(r.pair).alias("pair"), F.lit(char_of(r.id)).alias("to")) for r in rules])
+    table = table if known is None else F.slice(table, F.lit(1), known)
     return F.aggregate(table, z, lambda acc, r: F.replace(acc, r["pair"], r["to"]))
 
 
-def _mine(samples: DataFrame, first_id: int, budget: int, gate: Gate, cut_every: int = 24) -> list[Rule]:
+def _coded(samples: DataFrame) -> DataFrame:
+    """(s): samples as four bytes a symbol, for numpy."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = (np.frombuffer(z.encode("utf-32-le"), "<u4") for z in batch.column(0).to_pylist())
+            yield pa.record_batch([pa.array([np.where(c < GAP_AT, c, c - GAP).astype("<u4").tobytes() for c in codes], pa.binary())], names=["s"])
+
+    return samples.select("z").where(F.length("z") > 1).mapInArrow(run, "s binary")
+
+
+def _laid_out(column: pa.Array) -> np.ndarray:
+    """All samples of a batch, one after the other, parted by _END."""
+    end = np.array([_END], "<u4").tobytes()
+    return np.frombuffer(end.join(column.to_pylist()), "<u4")
+
+
+def _keys(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The pairs that begin at the given places, without those that reach beyond a sample."""
+    a, b = z[at], z[at + 1]
+    ok = (a != _END) & (b != _END)
+    return a[ok].astype(np.int64) << _SHIFT | b[ok]
+
+
+def _replaced(z: np.ndarray, left: int, right: int, symbol: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """z with the pair replaced from left to right, and (pairs, changes of their counts)."""
+    hit = np.flatnonzero(z[:-1] == left)
+    hit = hit[z[hit + 1] == right]
+    if left == right and len(hit):  # in a run of equal symbols every other place
+        start = np.flatnonzero(np.diff(hit, prepend=-2) != 1)
+        hit = hit[(np.arange(len(hit)) - np.repeat(start, np.diff(np.append(start, len(hit))))) % 2 == 0]
+    if not len(hit):
+        return z, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    near = lambda at, steps, n: np.unique(np.concatenate([x[(x >= 0) & (x < n - 1)] for x in (at + k for k in steps)]))
+    old = _keys(z, near(hit, (-1, 0, 1), len(z)))
+    out = np.delete(z, hit + 1)
+    out[hit - np.arange(len(hit))] = symbol
+    new = _keys(out, near(hit - np.arange(len(hit)), (-1, 0), len(out)))
+    pairs, place = np.unique(np.concatenate([old, new]), return_inverse=True)
+    change = np.bincount(place, np.concatenate([-np.ones(len(old)), np.ones(len(new))]), len(pairs)).astype(np.int64)
+    return out, pairs, change
+
+
+def _changes(coded: DataFrame, done: list[Rule], ahead: list[Rule]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(pairs, changes of their counts) by each rule of `ahead`, after those of `done` and the ones before it; without any, all counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            z = _laid_out(batch.column(0))
+            for r in done:
+                z = _replaced(z, r.left, r.right, r.id)[0]
+            if not ahead:
+                pairs, n = np.unique(_keys(z, np.arange(len(z) - 1)), return_counts=True)
+                yield pa.record_batch([pa.array(np.zeros(len(pairs), np.int32)), pa.array(pairs), pa.array(n)], names=["step", "pair", "n"])
+            for k, r in enumerate(ahead):
+                z, pairs, n = _replaced(z, r.left, r.right, r.id)
+                yield pa.record_batch([pa.array(np.full(len(pairs), k, np.int32)), pa.array(pairs), pa.array(n)], names=["step", "pair", "n"])
+
+    got = coded.mapInArrow(run, "step int, pair long, n long").groupBy("step", "pair").agg(F.sum("n").alias("n")).where("n <> 0").toArrow()
+    step, pair, n = (got.column(c).to_numpy() for c in ("step", "pair", "n"))
+    return [(pair[step == k], n[step == k]) for k in range(max(len(ahead), 1))]
+
+
+class Counts:
+    """Counts of all pairs, on the driver: as many rows as distinct pairs, at most the square of the number of symbols, whatever the samples."""
+
+    def __init__(self):
+        self.pairs, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, pairs: np.ndarray, n: np.ndarray) -> None:
+        self.pairs, place = np.unique(np.concatenate([self.pairs, pairs]), return_inverse=True)
+        total = np.zeros(len(self.pairs), np.int64)
+        np.add.at(total, place, np.concatenate([self.n, n]))
+        self.pairs, self.n = self.pairs[total > 0], total[total > 0]
+
+    def copy(self) -> Counts:
+        out = Counts()
+        out.pairs, out.n = self.pairs, self.n
+        return out
+
+    def drop(self, pair: int) -> None:
+        self.pairs, self.n = self.pairs[self.pairs != pair], self.n[self.pairs != pair]
+
+    def ranked(self, gate: Gate) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(left, right, count) of the passing pairs, the best first, ties to the smaller pair."""
+        left, right = self.pairs >> _SHIFT, self.pairs & ((1 << _SHIFT) - 1)
+        n, total = self.n.astype(np.float64), float(self.n.sum())
+        of = lambda side: np.bincount(np.unique(side, return_inverse=True)[1], n)[np.unique(side, return_inverse=True)[1]]
+        lift = n / (of(left) * of(right) / total) if len(n) else n
+        ok = np.flatnonzero((self.n >= gate.min_frequency) & (n / max(total, 1.0) >= gate.min_support) & (lift >= gate.min_lift))
+        order = ok[np.lexsort((right[ok], left[ok], -(n * lift)[ok]))]
+        return left[order], right[order], self.n[order]
+
+
+def _mine(samples: DataFrame, first_id: int, budget: int, gate: Gate, ahead: int = 8, cut_every: int = 24) -> list[Rule]:
     """Up to `budget` rules numbered from first_id, each of the samples as the earlier ones left them.
 
-    Rules since the last cut are applied in the scan of the next count; every
-    cut_every of them the rewritten samples are checkpointed, shorter.
+    Pairs are counted once; each later pass brings only the changes that some
+    rules make, guessed to be the best ones in turn. The first that is not the
+    best pair by the counts as changed ends the pass, and it and the rest are
+    dropped, so guesses decide how many passes there are, not what is found.
+    They come from mining on, on the driver, in SAMPLE symbols at most. Every
+    cut_every rules the rewritten samples are checkpointed, shorter.
     """
-    working, pending, found = samples.select("z").where(F.length("z") > 1), [], []
-    for k in range(budget):
-        current = working.select(apply_rules(F.col("z"), pending).alias("z")) if pending else working
-        row = best_pair(current, gate).first()
-        if row is None:
+    importable(samples.sparkSession)
+    coded, done, found, counts = cut(_coded(samples)), [], [], Counts()
+    counts.add(*_changes(coded, [], [])[0])
+    some = _laid_out(pa.array([x.s[: 4 * SAMPLE // 64] for x in coded.limit(64).collect()], pa.binary()))
+    while len(found) < budget:
+        guess = _guesses(counts, some, gate, first_id + len(found), min(ahead, budget - len(found)))
+        if not guess:
             break
-        rule = Rule(first_id + k, row.left, row.right, row.n)
-        found.append(rule)
-        pending.append(rule)
-        if len(pending) == cut_every:
-            working, pending = cut(current.select(apply_rules(F.col("z"), [rule]).alias("z")).where(F.length("z") > 1)), []
+        known = len(found)
+        for rule, change in zip(guess, _changes(coded, done, guess), strict=True):
+            left, other, n = counts.ranked(gate)
+            if not len(left) or (left[0], other[0]) != (rule.left, rule.right):
+                break
+            rule = Rule(rule.id, rule.left, rule.right, int(n[0]))
+            found.append(rule)
+            done.append(rule)
+            counts.add(*change)
+            some = _replaced(some, rule.left, rule.right, rule.id)[0]
+        right = len(found) - known
+        ahead = min(2 * ahead, 64) if right == len(guess) else max(ahead // 2, 4) if 2 * right < len(guess) else ahead
+        if len(done) >= cut_every and len(found) < budget:
+            coded, done = cut(_rewritten(coded, done)), []
     return found
 
 
+def _guesses(counts: Counts, some: np.ndarray, gate: Gate, next_id: int, most: int) -> list[Rule]:
+    """The next rules, the first one surely, the others by what they change in some of the symbols."""
+    likely, out = counts.copy(), []
+    share = max(float(counts.n.sum()), 1.0) / max(len(some), 1)
+    for k in range(most):
+        left, right, n = likely.ranked(gate)
+        if not len(left):
+            break
+        rule = Rule(next_id + k, int(left[0]), int(right[0]), int(n[0]))
+        out.append(rule)
+        some, pairs, change = _replaced(some, rule.left, rule.right, rule.id)
+        likely.add(pairs, np.rint(change * share).astype(np.int64))
+        likely.drop(rule.left << _SHIFT | rule.right)
+    return out
+
+
+def _rewritten(coded: DataFrame, rules: list[Rule]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            z = _laid_out(batch.column(0))
+            for r in rules:
+                z = _replaced(z, r.left, r.right, r.id)[0]
+            parts = np.split(z, np.flatnonzero(z == _END))
+            yield pa.record_batch([pa.array([(x[1:] if k else x).astype("<u4").tobytes() for k, x in enumerate(parts)], pa.binary())], names=["s"])
+
+    return coded.mapInArrow(run, "s binary").where(F.length("s") > 4)
+
+
 def train(samples: DataFrame, max_rules: int = 256, gate: Gate = Gate()) -> list[Rule]:
     """A dictionary of the samples alone."""
     return _mine(samples, FIRST_RULE, max_rules, gate)

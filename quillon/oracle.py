@@ -20,24 +20,18 @@ for _k, _p in enumerate(_FIXED):
 _WORDS = ["the ", "and ", "the", "and", "th", "e ", "an", "in"]
 
 
-def _chain(rules: int, start: str, first_id: int, name: str = "") -> list[str]:
-    """Common table expressions, some per rule: z<name><k> after k rules, b<name><k> the k-th rule."""
-    parts = [f"z{name}0 AS MATERIALIZED ({start})"]
-    for k in range(rules):
-        n = f"{name}{k}"
-        parts += [
-            f"a{n} AS (SELECT string_split(z, '') AS a FROM z{n} WHERE length(z) > 1)",
-            f"p{n} AS MATERIALIZED ({_PAIRS.format(src=f'a{n}')})",
-            f"s{n} AS ({_SCORED.format(pairs=f'p{n}')})",
-            f"b{n} AS MATERIALIZED (SELECT {first_id + k} AS id, l, r, n FROM s{n} WHERE {_GATE} ORDER BY score DESC, unicode(l), unicode(r) LIMIT 1)",
-            f"z{name}{k + 1} AS MATERIALIZED (SELECT CASE WHEN l IS NULL THEN z ELSE replace(z, l || r, chr({first_id + k})) END AS z FROM z{n} LEFT JOIN b{n} ON true)",
-        ]
-    return parts
+def _mined(rules: int, first_id: int) -> str:
+    """Common table expressions start(g, z) -> t(g, k, z, n0, l, r, n): the samples of each group after k rules, and the k-th rule."""
+    pairs = "SELECT g, p[1] AS l, p[2] AS r, count(*) AS n FROM (SELECT g, unnest(list_zip(a[1:len(a)-1], a[2:len(a)])) AS p FROM (SELECT g, string_split(z, '') AS a FROM t WHERE length(z) > 1)) GROUP BY ALL"
+    scored = _SCORED.format(pairs=f"({pairs})").replace("PARTITION BY l", "PARTITION BY g, l").replace("PARTITION BY r", "PARTITION BY g, r").replace("OVER ()", "OVER (PARTITION BY g)")
+    best = f"SELECT g, l, r, n FROM ({scored}) WHERE {_GATE} QUALIFY row_number() OVER (PARTITION BY g ORDER BY score DESC, unicode(l), unicode(r)) = 1"
+    return f"""t(g, k, z, n0, l, r, n) AS (SELECT g, 0, z, length(z), NULL::VARCHAR, NULL::VARCHAR, NULL::BIGINT FROM start
+UNION ALL SELECT t.g, t.k + 1, replace(t.z, b.l || b.r, chr({first_id} + t.k)), t.n0, b.l, b.r, b.n FROM t JOIN ({best}) b USING (g) WHERE t.k < {rules})"""
 
 
 def _train(rules: int, start: str, first_id: int) -> str:
-    last = " UNION ALL ".join(f"SELECT id::BIGINT AS id, unicode(l)::BIGINT AS left, unicode(r)::BIGINT AS right, n AS frequency FROM b{k}" for k in range(rules))
-    return "WITH " + ", ".join(_chain(rules, start, first_id)) + " " + last
+    return f"""WITH RECURSIVE start AS (SELECT 0 AS g, z FROM ({start})), {_mined(rules, first_id)}
+SELECT DISTINCT ({first_id - 1} + k)::BIGINT AS id, unicode(l)::BIGINT AS left, unicode(r)::BIGINT AS right, n AS frequency FROM t WHERE k > 0"""
 
 
 _ITEMS = f"SELECT item_id, coalesce(array_to_string(list_transform({_BYTES}, lambda x: chr(x)), ''), '') AS z FROM benchmark WHERE text IS NOT NULL"
@@ -45,22 +39,15 @@ _ITEMS = f"SELECT item_id, coalesce(array_to_string(list_transform({_BYTES}, lam
 
 def _capacities(levels: tuple[int, ...]) -> str:
     """Mean cost after so many rules; the rules of a smaller budget are the first of a larger one's."""
-    k = max(levels)
-    parts = _chain(k, f"SELECT z FROM ({_ITEMS})", 256)
-    # Rewriting keeps a sample's row; its length before any rule goes with it.
-    parts = [x.replace("SELECT z FROM (", "SELECT z, length(z) AS n0 FROM (").replace("END AS z FROM", "END AS z, n0 FROM") for x in parts]
-    found = lambda c: " + ".join(f"(SELECT count(*) FROM b{j})" for j in range(c))
-    rows = " UNION ALL ".join(f"SELECT {c} AS capacity, ({found(c)})::INTEGER AS rules, (SELECT round(avg(length(z)::DOUBLE / nullif(n0, 0)), 9) FROM z{c}) AS cost" for c in levels)
-    return "WITH " + ", ".join(parts) + " " + rows
+    rows = " UNION ALL ".join(f"SELECT {c} AS capacity, least({c}, most)::INTEGER AS rules, (SELECT round(avg(length(z)::DOUBLE / nullif(n0, 0)), 9) FROM t WHERE k = least({c}, most)) AS cost FROM m" for c in levels)
+    return f"WITH RECURSIVE start AS (SELECT 0 AS g, z FROM ({_ITEMS})), {_mined(max(levels), 256)}, m AS (SELECT max(k) AS most FROM t) {rows}"
 
 
 def _growth(steps: int, rules: int) -> str:
-    parts, rows = [f"items AS MATERIALIZED (SELECT z, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS total FROM ({_ITEMS}))"], []
-    for s in range(1, steps + 1):
-        parts += _chain(rules, f"SELECT z FROM items WHERE k < total * {s} // {steps}", 256, f"s{s}r")
-        found = " + ".join(f"(SELECT count(*) FROM bs{s}r{j})" for j in range(rules))
-        rows.append(f"SELECT {s} AS step, (SELECT max(total) FROM items) * {s} // {steps} AS samples, {found} AS rules")
-    return "WITH " + ", ".join(parts) + f", g AS ({' UNION ALL '.join(rows)}) SELECT step, samples, rules, greatest(rules - coalesce(lag(rules) OVER (ORDER BY step), 0), 0) AS growth FROM g WHERE samples > 0"
+    return f"""WITH RECURSIVE items AS (SELECT z, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS total FROM ({_ITEMS})),
+start AS (SELECT g, z FROM items, range(1, {steps + 1}) x(g) WHERE i < total * g // {steps}), {_mined(rules, 256)},
+s AS (SELECT g, max(k) AS rules, (SELECT max(total) FROM items) * g // {steps} AS samples FROM t GROUP BY g)
+SELECT g::INTEGER AS step, samples, rules::BIGINT AS rules, greatest(rules - coalesce(lag(rules) OVER (ORDER BY g), 0), 0)::BIGINT AS growth FROM s"""
 
 
 def _fnv(values: str) -> str:
@@ -102,11 +89,13 @@ def _zipf_decided(medium: float, strong: float) -> str:
 
 
 _H = """s AS (SELECT doc_id AS ord, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL),
-nodes AS (SELECT ord, layer, i, substr(h, (2 * i * (1 << layer) + 1)::BIGINT, (2 * (1 << layer))::BIGINT) AS key
-  FROM (SELECT ord, h, n, layer, unnest(range(0, ((n - (1 << (layer - 1)) - 1) // (1 << layer)) + 1)) AS i
-        FROM s, (SELECT unnest([1, 2, 3]) AS layer) WHERE n > (1 << (layer - 1))))"""
-_REL = f"""WITH {_H}, g AS (SELECT key, count(*) AS ref_count, min((ord, layer, i)) AS f FROM nodes GROUP BY key),
-r AS MATERIALIZED (SELECT key, ref_count, f[2] AS layer, 255 + row_number() OVER (ORDER BY f) AS id, (1 << floor(log2(length(key) / 2 - 0.5))::INTEGER) AS half FROM g),
+parts AS (SELECT ord, unnest(range(0, (n + 7) // 8)) AS pos, unnest(regexp_extract_all(h, '.{1,16}')) AS part FROM s),
+nodes AS (SELECT ord, layer, pos * (8 >> layer) + k AS i, substr(part, (2 * k * (1 << layer) + 1)::BIGINT, (2 * (1 << layer))::BIGINT) AS key
+  FROM (SELECT ord, pos, part, layer, unnest(range(0, (length(part) // 2 - (1 << (layer - 1)) - 1) // (1 << layer) + 1)) AS k
+        FROM parts, (SELECT unnest([1, 2, 3]) AS layer) WHERE length(part) // 2 > (1 << (layer - 1))))"""
+_FIRST = "min(ord::HUGEINT * 4000000000000 + layer * 1000000000000 + i)"
+_REL = f"""WITH {_H}, g AS (SELECT key, count(*) AS ref_count, {_FIRST} AS f FROM nodes GROUP BY key),
+r AS MATERIALIZED (SELECT key, ref_count, ((f // 1000000000000) % 4)::INTEGER AS layer, 255 + row_number() OVER (ORDER BY f) AS id, (1 << floor(log2(length(key) / 2 - 0.5))::INTEGER) AS half FROM g),
 k AS (SELECT id, layer, ref_count, substr(key, 1, 2 * half) AS lk, substr(key, 2 * half + 1) AS rk FROM r)"""
 _MOTIF = "[65, 66, 67, 68, 65, 66, 67, 68, 48, 48, 88, 89, 88, 89, 48, 48]"
 _RAW = "list_transform({x}, lambda b: printf('%02X', b))"
@@ -122,19 +111,19 @@ ORACLE: dict[str, str] = {
     "best_pair": f"WITH b AS ({_Z}), p AS ({_PAIRS.format(src='b')}), s AS ({_SCORED.format(pairs='p')}) SELECT l::BIGINT AS left, r::BIGINT AS right, n, round(score, 6) AS score FROM s WHERE {_GATE} ORDER BY s.score DESC, l, r LIMIT 1",
     "pair_frequency": f"WITH b AS ({_Z}), p AS ({_PAIRS.format(src='b')}) SELECT 'th' AS pair, coalesce(sum(n), 0)::BIGINT AS n FROM p WHERE l = 116 AND r = 104 UNION ALL SELECT 'll', coalesce(sum(n), 0)::BIGINT FROM p WHERE l = 108 AND r = 108",
     "replace_pair": f"WITH b AS ({_Z}) SELECT doc_id, length(replace(z, 'th', chr(256))) AS trail_length FROM b",
-    "train_rules": _train(3, f"SELECT z FROM ({_Z})", 256),
-    "consolidate_rules": _train(2, f"SELECT {_ENCODED} AS z FROM ({_Z})", 264),
+    "train_first": _train(16, f"SELECT z FROM ({_Z})", 256),
+    "consolidate_first": _train(16, f"SELECT {_ENCODED} AS z FROM ({_Z})", 264),
     "encode_fixed_rules": f"WITH e AS (SELECT doc_id, z, {_ENCODED} AS e FROM ({_Z})) SELECT doc_id, length(z) AS input_bytes, length(e) AS trail_length, length(z) - length(e) AS rules_applied, md5(coalesce(array_to_string(list_transform(CASE WHEN e = '' THEN [] ELSE string_split(e, '') END, lambda c: unicode(c)), ','), '')) AS trail_md5 FROM e",
     "encode_cost": f"WITH e AS (SELECT lang, z, {_ENCODED} AS e FROM ({_Z})) SELECT lang, count(*) AS samples, round(avg(length(e)::DOUBLE / nullif(length(z), 0)), 9) AS symbols_per_byte, sum(length(e) + 16)::BIGINT AS model_cost, true AS exact FROM e GROUP BY lang",
     "rules_per_kib": f"SELECT source, sum(length(z))::BIGINT AS bytes, round(8::DOUBLE / (sum(length(z))::DOUBLE / 1024), 9) AS rules_per_kib FROM ({_Z}) GROUP BY source",
-    "decode_roundtrip": "SELECT doc_id, octet_length(encode(text)) AS bytes, true AS exact FROM documents WHERE text IS NOT NULL",
+    "decode_roundtrip": "SELECT doc_id, octet_length(encode(text)) AS bytes, md5(text) AS md5 FROM documents WHERE text IS NOT NULL",
     "compiled_encode": f"WITH t AS (SELECT doc_id, regexp_extract_all(z, '({'|'.join(_WORDS)}|(?s:.))') AS t FROM ({_Z})) SELECT doc_id, len(t) AS trail_length, coalesce(list_sum(list_transform(list_filter(t, lambda x: length(x) > 1), lambda x: length(x))), 0)::BIGINT AS matched_bytes, len(list_filter(t, lambda x: length(x) > 1)) AS matched_rules FROM t",
     "trie_node_count": f"SELECT 1 + count(DISTINCT substr(w, 1, k)) AS nodes FROM (SELECT unnest({_WORDS}) AS w), unnest(range(1, 5)) AS u(k) WHERE k <= length(w)",
     "hier_relations": f"""{_REL} SELECT k.id, CASE WHEN length(lk) = 2 THEN CAST('0x' || lk AS BIGINT) ELSE a.id END AS "left", CASE WHEN length(rk) = 2 THEN CAST('0x' || rk AS BIGINT) ELSE b.id END AS "right", k.layer, k.ref_count FROM k LEFT JOIN r a ON a.key = lk LEFT JOIN r b ON b.key = rk""",
-    "hier_ref_counts": f"WITH {_H}, g AS (SELECT key, count(*) AS ref_count, min((ord, layer, i)) AS f FROM nodes GROUP BY key) SELECT f[2] AS layer, count(*) AS relations, sum(ref_count)::BIGINT AS refs, max(ref_count) AS most FROM g GROUP BY 1",
+    "hier_ref_counts": f"WITH {_H}, g AS (SELECT key, count(*) AS ref_count, {_FIRST} AS f FROM nodes GROUP BY key) SELECT ((f // 1000000000000) % 4)::INTEGER AS layer, count(*) AS relations, sum(ref_count)::BIGINT AS refs, max(ref_count) AS most FROM g GROUP BY 1",
     "hier_trail_len": f"WITH {_H} SELECT s.ord AS doc_id, ceil(n / 8.0)::BIGINT AS trail_length, (SELECT count(*) FROM nodes WHERE nodes.ord = s.ord) AS relations_used FROM s",
     "hier_cost": f"WITH {_H}, f AS (SELECT o, count(*) AS c FROM (SELECT key, min(ord) AS o FROM nodes GROUP BY key) GROUP BY o) SELECT s.ord AS doc_id, coalesce(c, 0) AS new_relations, ceil(n / 8.0)::BIGINT + 2 * coalesce(c, 0) AS cost FROM s LEFT JOIN f ON o = s.ord",
-    "hier_roundtrip": "SELECT doc_id, true AS exact FROM documents WHERE text IS NOT NULL",
+    "hier_roundtrip": "SELECT doc_id, md5(text) AS md5 FROM documents WHERE text IS NOT NULL",
     "rule_hash": f"SELECT l_orderkey AS id, l_partkey AS \"left\", l_suppkey AS \"right\", l_linenumber::BIGINT AS frequency, {_fnv('[l_orderkey, l_partkey, l_suppkey, l_linenumber::BIGINT]')} AS hash FROM lineitem",
     "trail_hash": f"SELECT trail_id, {_fnv('list_prepend(len(symbols), symbols)')} AS hash FROM ({_TRAILS})",
     "trail_block_hash": f"SELECT trail_id, block, {_fnv('list_prepend(len(part), part)')} AS hash FROM ({_BLOCKS})",
@@ -189,8 +178,8 @@ u AS (SELECT 0 AS k, x FROM a UNION ALL SELECT 1, x FROM b UNION ALL SELECT 2, (
   UNION ALL SELECT 3, list_concat((SELECT x[1:2048] FROM a), (SELECT x[2049:4096] FROM b)))
 SELECT k, len(x) AS n, list_sum(x)::BIGINT AS total, {_digest('x')} AS md5 FROM u""",
     "zipf_usage": _ZIPF,
-    "snapshot_roundtrip": f"SELECT doc_id AS trail_id, length({_ENCODED}) AS n, true AS exact FROM ({_Z})",
-    "capacity_sweep": _capacities((2, 4, 8, 12)),
-    "incremental_growth": _growth(8, 4),
-    "retention_check": "SELECT row_number() OVER (ORDER BY item_id) - 1 AS ord, true AS exact FROM benchmark WHERE text IS NOT NULL",
+    "snapshot_roundtrip": f"SELECT doc_id AS trail_id, length(e) AS n, md5(coalesce(array_to_string(list_transform(CASE WHEN e = '' THEN [] ELSE string_split(e, '') END, lambda c: unicode(c)), ','), '')) AS md5 FROM (SELECT doc_id, {_ENCODED} AS e FROM ({_Z}))",
+    "capacity_sweep": _capacities((64, 128, 256, 512)),
+    "incremental_growth": _growth(12, 128),
+    "retention_check": "SELECT row_number() OVER (ORDER BY item_id) - 1 AS ord, md5(text) AS md5 FROM benchmark WHERE text IS NOT NULL",
 }
