@@ -510,44 +510,44 @@ def capacity_sweep(spark, d):
     return out
 
 
+def _mean_cost(samples, rules):
+    """Mean symbols a byte of samples (content) as the rules encode them."""
+    e = encoding.encode(samples.select(F.decode("content", "ISO-8859-1").alias("z")), rules)
+    return e.agg(F.round(F.coalesce(F.avg(encoding.symbol_cost(F.nullif("trail_length", F.lit(0).cast("long")), F.col("input_bytes"))), F.lit(0.0)), 9)).first()[0]
+
+
 def order_retention(spark, d):
     """Rules and mean cost for items in order, in reverse and in six seeded shuffles."""
-    rows = spark.createDataFrame([(k,) for k in range(8)], "run int")
-    items = list(online.in_order(_items(spark, d), "item_id", "content"))
-    out = []
-    for (run,) in rows.collect():
-        import random
-
-        own = list(items)
-        if run == 1:
-            own.reverse()
-        elif run > 1:
-            random.Random(12345 + run).shuffle(own)
-        rules: list[Rule] = []
-        for sample in own:
-            rules += online.learn_sample(sample, rules, ONLINE_ORDERS, GATE)
-        costs = [len(online.encode_one(x, rules)) / len(x) for x in items if x]
-        out.append((run, len(rules), round(sum(costs) / max(len(costs), 1), 9)))
+    items, out = cut(global_ranks(_items(spark, d), "item_id")), []
+    for run in range(8):
+        at = F.col("rank") if run == 0 else -F.col("rank") if run == 1 else F.xxhash64("rank", F.lit(run))
+        rules, _ = online.learn_online(items.withColumn("at", at), "at", "content", max_new=ONLINE_ORDERS, gate=GATE)
+        out.append((run, len(rules), _mean_cost(items, rules)))
     return spark.createDataFrame(out, "run int, rules long, mean_cost double")
 
 
 def multicycle(spark, d):
     """Four cycles: a quarter of the items online, then consolidation over all seen, encoded anew."""
-    items = list(online.in_order(_items(spark, d), "item_id", "content"))
-    rules: list[Rule] = []
-    out = []
+    items = cut(global_ranks(_items(spark, d), "item_id"))
+    total, rules, out = items.count(), [], []
     for cycle in range(4):
-        for sample in items[len(items) * cycle // 4 : len(items) * (cycle + 1) // 4]:
-            rules += online.learn_sample(sample, rules, ONLINE, GATE)
-        seen = items[: len(items) * (cycle + 1) // 4]
-        before = len(rules)
-        trails = spark.createDataFrame([(online.encode_one(x, rules),) for x in seen], "z string")
+        low, high = total * cycle // 4, total * (cycle + 1) // 4
+        rules, _ = online.learn_online(items.where(F.col("rank").between(low, high - 1)), "rank", "content", rules, ONLINE, GATE)
+        seen, before = items.where(F.col("rank") < high), len(rules)
+        trails = encoding.encode(seen.select(F.decode("content", "ISO-8859-1").alias("z")), rules).select(F.col("encoded").alias("z"))
         rules = mining.consolidate(trails, rules, CONSOLIDATED, GATE)
-        costs = [len(online.encode_one(x, rules)) / len(x) for x in seen if x]
-        out.append((cycle + 1, before, len(rules) - before, len(rules), round(sum(costs) / max(len(costs), 1), 9)))
+        out.append((cycle + 1, before, len(rules) - before, len(rules), _mean_cost(seen, rules)))
     return spark.createDataFrame(out, "cycle int, before long, added long, after long, mean_cost double")
 
 
+def mined_recovery(spark, d):
+    """Mine a dictionary, protect it, lose every eighth rule, find the loss by its hashes and restore it from parity."""
+    rules = mining.rules_frame(spark, mining.train(_documents(spark, d), FIRST, GATE)).withColumn("idx", F.col("id") - 256)
+    damaged = rules.withColumn("right", F.when(F.pmod("idx", F.lit(8)) == 3, F.col("right").bitwiseXOR(0x55)).otherwise(F.col("right")))
+    lost = integrity.corrupted_rules(integrity.rule_hashes(rules), damaged)
+    return parity.recover_one_rule(parity.rule_parity(rules), damaged, lost)
+
+
 _QUERIES = (
     pair_counts, pair_scores, best_pair, pair_frequency, replace_pair, train_rules, train_first, consolidate_rules, consolidate_first,
     encode_fixed_rules, encode_cost, rules_per_kib, decode_roundtrip, compiled_encode, trie_node_count,
@@ -559,7 +559,7 @@ _QUERIES = (
     burst_failure, max_burst, overhead_model, random_failure, profile_failure, criticality_failure, group_failure, group_parity,
     quantile_sweep, sweep_parity, integrated_failure,
     read_window, scale_windows, gen_families, gen_corpora, gen_noise, zipf_usage, snapshot_roundtrip,
-    online_rules, stream_rules, retention_check, incremental_growth, capacity_sweep, order_retention, multicycle,
+    online_rules, stream_rules, retention_check, incremental_growth, capacity_sweep, order_retention, multicycle, mined_recovery,
 )
 
 

@@ -179,6 +179,7 @@ u AS (SELECT 0 AS k, x FROM a UNION ALL SELECT 1, x FROM b UNION ALL SELECT 2, (
 SELECT k, len(x) AS n, list_sum(x)::BIGINT AS total, {_digest('x')} AS md5 FROM u""",
     "zipf_usage": _ZIPF,
     "snapshot_roundtrip": f"SELECT doc_id AS trail_id, length(e) AS n, md5(coalesce(array_to_string(list_transform(CASE WHEN e = '' THEN [] ELSE string_split(e, '') END, lambda c: unicode(c)), ','), '')) AS md5 FROM (SELECT doc_id, {_ENCODED} AS e FROM ({_Z}))",
+    "mined_recovery": f"SELECT id - 256 AS idx, * FROM ({_train(16, f'SELECT z FROM ({_Z})', 256)}) WHERE id % 8 = 3",
     "capacity_sweep": _capacities((64, 128, 256, 512)),
     "incremental_growth": _growth(12, 128),
     "retention_check": "SELECT row_number() OVER (ORDER BY item_id) - 1 AS ord, md5(text) AS md5 FROM benchmark WHERE text IS NOT NULL",
