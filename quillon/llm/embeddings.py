@@ -143,16 +143,21 @@ def _judge(key: str, threshold: float, count: bool):
             cross = t.column("ci").to_numpy() != t.column("cj").to_numpy()
             vector, code, factor = (t.column(c).to_pylist() for c in ("vector", "code", "factors"))
             rows: list[tuple] = []
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if b - a < 2 or len({len(vector[i]) for i in range(a, b)}) > 1:  # bands hold the length; a chance collision
+            size = np.array([len(x) for x in vector])
+            parts = [range(a, b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            # Vectors of different lengths, which a chance collision of keys brings together, are judged apart.
+            parts = [p if (size[p.start : p.stop] == size[p.start]).all() else [i for i in p if size[i] == n] for p in parts for n in np.unique(size[p.start : p.stop])]
+            for own in parts:
+                if len(own) < 2:
                     continue
-                m = [np.frombuffer(b"".join(xs[a:b]), kind).reshape(b - a, -1) for xs, kind in ((vector, np.float64), (code, np.uint8), (factor, np.float64))]
+                m = [np.frombuffer(b"".join(xs[i] for i in own), kind).reshape(len(own), -1) for xs, kind in ((vector, np.float64), (code, np.uint8), (factor, np.float64))]
+                own = np.asarray(own)
                 link = linked(*m, threshold)
-                if cross[a]:
-                    link &= side[a:b, None] != side[None, a:b]
-                r = rid[a:b]
+                if cross[own[0]]:
+                    link &= side[own][:, None] != side[own][None, :]
+                r = rid[own]
                 if count:
-                    n = link @ copies[a:b]
+                    n = link @ copies[own]
                     rows += [(int(x), None, int(k)) for x, k in zip(r, n, strict=True) if k]
                 rows += [(int(r[x]), int(r[y]), 0) for x, y in spanning(link)]
             columns = list(zip(*rows, strict=True)) or [(), (), ()]

@@ -183,13 +183,14 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), upper, lower), SEPARATORS, " "))
 
 
+#: Marks before and after a hit; no normalised text holds them.
+_OPEN, _SHUT = "\x01", "\x02"
+#: A rule's hits as word positions, in time that grows as the text: they are marked in the text, and the marked words' places are listed.
 _SPANS = """
-aggregate(arrays_zip(split(norm, r.pattern, -1), regexp_extract_all(norm, r.pattern, 0)),
-  named_struct('at', 0, 'out', cast(array() AS array<struct<s:int,e:int,p:int,label:string,w:double>>)),
-  (acc, x) -> named_struct('at', acc.at + length(x.`0`) + coalesce(length(x.`1`), 0),
-    'out', if(x.`1` IS NULL, acc.out, concat(acc.out, array(named_struct('s', acc.at + length(x.`0`), 'e', -(acc.at + length(x.`0`) + length(x.`1`)), 'p', -r.priority, 'label', r.label, 'w', r.weight))))),
-  acc -> acc.out)
-"""
+transform(array(transform(split(trim(regexp_replace(norm, r.pattern, '{open}$0{shut}')), ' '), (w, i) -> named_struct('w', w, 'i', i))), marked ->
+  zip_with(filter(marked, x -> startswith(x.w, '{open}')), filter(marked, x -> endswith(x.w, '{shut}')),
+    (a, b) -> named_struct('s', a.i, 'e', -(b.i + 1), 'p', -r.priority, 'label', r.label, 'w', r.weight)))[0]
+""".format(open=_OPEN, shut=_SHUT)
 _TOP = max(p for p, _ in KINDS.values())
 #: Sorted by start, then longest, then priority: a hit is within an earlier one iff some earlier end reaches its own.
 _KEPT = """
@@ -213,7 +214,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         gate = gate | F.contains("norm", F.lit(g))
     out = out.withColumn("norm", F.when(gate, F.col("norm")))
     none = "cast(array() AS array<struct<s:int,e:int,p:int,label:string,w:double>>)"
-    hits = f"if(norm IS NULL, {none}, array_sort(flatten(transform(filter({table_sql}, r -> exists(r.keywords, k -> contains(norm, k))), r -> {_SPANS}))))"
+    hits = f"if(norm IS NULL, {none}, array_sort(flatten(transform(filter({table_sql}, r -> exists(r.keywords, k -> contains(norm, k)) AND norm RLIKE r.pattern), r -> {_SPANS}))))"
     out = out.withColumn("hits", F.expr(hits))
     return out.withColumn("found", F.expr(_KEPT.format(n=_TOP)))
 

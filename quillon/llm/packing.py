@@ -72,7 +72,7 @@ def choose_cuts(length: int, cuts: np.ndarray, penalty: np.ndarray, window: int
     back = [-1]
     where = [0]
     queue = deque([(0.0, 0)])  # (cost - position's padding part, index), least first
-    powers = [1 << k for k in range(window.bit_length() - 1) if 1 << k >= 64]
+    powers = [1 << k for k in range(window.bit_length()) if 64 <= 1 << k < window]
     for k, b in enumerate(at, 1):
         while where[queue[0][1]] < b - window:
             queue.popleft()
@@ -119,8 +119,8 @@ def split_tail(length: int, window: int = WINDOW, penalty: float = HARD_CUT) ->
     return out
 
 
-def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions after which a stretch of tokens may be cut, and each one's penalty."""
+def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Positions after which a stretch of tokens may be cut, and each one's penalty; no two further apart than a window."""
     n = len(ids)
     pen = np.zeros(n + 1, np.float64)
     kind = np.zeros(n + 1, np.int8)
@@ -128,10 +128,11 @@ def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray)
     kind[doc_ends] = 2
     kind[n] = max(kind[n], 1)
     at = np.flatnonzero(kind)
-    gaps = np.flatnonzero(np.diff(at, prepend=0) > LONG_SENTENCE)
+    long = min(LONG_SENTENCE, window)
+    gaps = np.flatnonzero(np.diff(at, prepend=0) > long)
     for g in gaps:
         a, b = (at[g - 1] if g else 0), at[g]
-        kind[np.arange(a + LONG_SENTENCE // 4, b, LONG_SENTENCE // 4)] = 3
+        kind[np.arange(a + max(long // 4, 1), b, max(long // 4, 1))] = 3
     at = np.flatnonzero(kind)
     pen = np.array([0, SENTENCE_CUT, 0, HARD_CUT], np.float64)[kind[at]]
     return at, pen
@@ -169,7 +170,7 @@ def pack_stream(docs: Iterator[tuple[int | None, np.ndarray]], ends_sentence: np
         parts = [ids[s:] for _, ids, s in held]
         flat = np.concatenate(parts)
         ends = np.cumsum([len(p) for p in parts])
-        at, pen = candidates(flat, ends, ends_sentence)
+        at, pen = candidates(flat, ends, ends_sentence, window)
         return choose_cuts(size, at, pen, window, open_end)
 
     for doc_id, ids in docs:

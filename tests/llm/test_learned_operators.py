@@ -306,3 +306,15 @@ def test_html_equals_the_generated_articles(spark):
 def test_html_casts_its_ids(spark):
     df = spark.createDataFrame([(1, "http://a/", "<p>some text</p>")], "page_id int, url string, html string")
     assert [tuple(r) for r in html.extract(df).collect()] == [(1, "http://a/", "some text", 9)]
+
+
+def test_embeddings_of_unlike_lengths_that_meet_under_one_key(spark, monkeypatch):
+    """Every vector under one key, as by chance collisions: no pair of equal lengths is lost."""
+    real = embeddings._coded
+    monkeypatch.setattr(embeddings, "_coded", lambda *a: real(*a).select("rid", F.lit(1).cast("long").alias("key")).distinct())
+    rng = np.random.default_rng(4)
+    a, b = rng.standard_normal(16), rng.standard_normal(24)
+    data = [(0, a), (1, a * 2), (2, b), (3, b + 0.01), (4, rng.standard_normal(16)), (5, rng.standard_normal(24))]
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in data], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (1, 2), 3: (1, 2), 4: (0, 4), 5: (0, 5)}

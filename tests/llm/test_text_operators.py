@@ -471,3 +471,62 @@ def test_split_tree_is_exact():
     q = np.array([100, 7, 0, 33])
     t = mixing.split_tree(q, 8, np.random.default_rng(1))
     assert t.shape == (8, 4) and (t.sum(0) == q).all() and t.min() >= 0 and t.sum(1).max() - t.sum(1).min() <= 1
+
+
+# --- very long texts --------------------------------------------------------
+
+
+def long_text(n=170_000):
+    rng = np.random.default_rng(8)
+    return " ".join(f"z{k}" for k in rng.integers(0, 50_000, n))
+
+
+def test_licenses_on_a_long_text_of_notices(spark):
+    import time
+
+    text = "Released under the MIT license. " * 40_000  # 1.3 MB
+    df = spark.createDataFrame([(1, text), (2, "released under the mit license")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in licenses.scan(df).selectExpr("doc_id", "size(hits) AS n", "found.labels AS labels", "hits[0].s AS s", "-hits[0].e AS e").collect()}
+    assert time.time() - began < 60
+    assert got[1].labels == got[2].labels == ["mit"] and got[1].n == 40_000 * got[2].n and (got[2].s, got[2].e) == (0, 5)
+
+
+def test_other_operators_on_a_long_text(spark):
+    text = long_text()
+    assert len(text) > 1_000_000
+    df = spark.createDataFrame([(1, text, "en", "a", 0), (2, text + " end", "en", "b", 0), (3, "y" * 1_000_001, "en", "a", 0), (4, "short one", "en", None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    links = {r.k1: r.n_links for r in ngram_join.join(df).collect()}
+    assert links == {1: 1, 2: 1, 3: 0, 4: 0}
+    marks = df.select("doc_id", order_minhash.slots(F.col("text")).alias("m"))
+    near = marks.alias("a").join(marks.alias("b"), F.expr("a.doc_id = 1 AND b.doc_id = 2")).select(order_minhash.likeness(F.col("a.m"), F.col("b.m")).alias("x")).first().x
+    assert near > 0.9
+    assert packing.pack(df).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).where("n <> m").isEmpty()
+    assert {r.row.doc_id: r._size for r in mixing.mix(df).select("row", "_size").collect()} == {1: 170_000, 2: 170_001, 3: 1, 4: 2}
+
+
+# --- order MinHash against a model ------------------------------------------
+
+
+def swapped_likeness(spark, n, texts=24):
+    rng = np.random.default_rng(n)
+    rows = []
+    for k in range(texts):
+        w = [f"v{x}" for x in rng.integers(0, 10**9, n)]
+        rows.append((k, " ".join(w), " ".join([*w[n // 2 :], *w[: n // 2]])))
+    df = spark.createDataFrame(rows, "k int, a string, b string")
+    return df.select(F.avg(order_minhash.likeness(order_minhash.slots(F.col("a")), order_minhash.slots(F.col("b")))).alias("x")).first().x
+
+
+def test_likeness_of_swapped_halves_does_not_depend_on_length(spark):
+    found = [swapped_likeness(spark, n) for n in (40, 80, 300, 2000)]
+    assert max(found) - min(found) < 0.1 and all(abs(x - 0.5) < 0.12 for x in found)
+
+
+@pytest.mark.parametrize("window", [64, 100, 2048])
+def test_packing_in_windows_of_any_size(spark, window):
+    got = packing.pack(documents(spark).repartition(2), window=window)
+    used = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max("sequence_length").alias("m")).collect()
+    assert all(r.n == r.m <= window for r in used)
+    parts = got.where("doc_id IS NOT NULL").groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n"), F.count("*").alias("pieces")).collect()
+    assert all(r.n % r.doc_tokens == 0 for r in parts)
