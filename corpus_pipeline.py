@@ -7,14 +7,13 @@ columns of documents. Each works on every row that its predecessor kept.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import mixing, ngram_join, packing, quality, recompression
-from quillon.llm.common import table
+from quillon.llm.common import shared_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +47,17 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources, each taken copy a row, shuffled within its shard."""
+    """The mix of sources, each taken copy a row, shuffled within its shard.
+
+    A null source is one of its own, a null or empty text counts for nothing and
+    goes with its block, rows equal in doc_id, source and text are placed alike,
+    an empty table gives an empty mix.
+    """
     return mixing.shuffled(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences; a null or empty text is its end token alone, repeated rows are packed each, an empty table gives none."""
     return packing.pack(docs)
 
 
@@ -69,10 +73,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    root = named or (sc._jsc.sc().getCheckpointDir().get() if sc._jsc.sc().getCheckpointDir().isDefined() else tempfile.mkdtemp(prefix="quillon-pipeline-"))
-    folder = f"{root.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/{k}-{name}"
