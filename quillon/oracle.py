@@ -23,7 +23,7 @@ _WORDS = ["the ", "and ", "the", "and", "th", "e ", "an", "in"]
 def _mined(rules: int, first_id: int) -> str:
     """Common table expressions start(g, z) -> t(g, k, z, n0, l, r, n): the samples of each group after k rules, and the k-th rule."""
     pairs = "SELECT g, p[1] AS l, p[2] AS r, count(*) AS n FROM (SELECT g, unnest(list_zip(a[1:len(a)-1], a[2:len(a)])) AS p FROM (SELECT g, string_split(z, '') AS a FROM t WHERE length(z) > 1)) GROUP BY ALL"
-    scored = _SCORED.format(pairs=f"({pairs})").replace("PARTITION BY l", "PARTITION BY g, l").replace("PARTITION BY r", "PARTITION BY g, r").replace("OVER ()", "OVER (PARTITION BY g)")
+    scored = _SCORED.format(pairs=f"({pairs})").replace("SELECT l, r, n", "SELECT g, l, r, n").replace("PARTITION BY l", "PARTITION BY g, l").replace("PARTITION BY r", "PARTITION BY g, r").replace("OVER ()", "OVER (PARTITION BY g)")
     best = f"SELECT g, l, r, n FROM ({scored}) WHERE {_GATE} QUALIFY row_number() OVER (PARTITION BY g ORDER BY score DESC, unicode(l), unicode(r)) = 1"
     return f"""t(g, k, z, n0, l, r, n) AS (SELECT g, 0, z, length(z), NULL::VARCHAR, NULL::VARCHAR, NULL::BIGINT FROM start
 UNION ALL SELECT t.g, t.k + 1, replace(t.z, b.l || b.r, chr({first_id} + t.k)), t.n0, b.l, b.r, b.n FROM t JOIN ({best}) b USING (g) WHERE t.k < {rules})"""
