@@ -293,13 +293,15 @@ def group_bounds(t: pa.Table, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(change), t.num_rows)
 
 
-def in_blocks(rows: DataFrame, key: str, member: str, block: int) -> DataFrame:
+def in_blocks(rows: DataFrame, key: str, member: str, block: int, wide: DataFrame | None = None) -> DataFrame:
     """Deal each group's rows to tasks that compare at most about 2 x block rows.
 
     A group of n rows is cut by a hash of `member` into ceil(n / block) chunks;
     every two chunks meet in one block (key, ci, cj), so that each pair of rows
     meets exactly once: within a chunk where ci = cj, else across. `side` is 0
     for rows of chunk ci, 1 for rows of cj. Groups of one row are left out.
+    `wide`, a row per member, brings further columns once the rows are dealt, so
+    that they travel no sooner.
     """
     sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
     joined = rows.join(sizes, key).withColumn("_k", F.ceil(F.col("_n") / block).cast("int"))
@@ -312,6 +314,8 @@ def in_blocks(rows: DataFrame, key: str, member: str, block: int) -> DataFrame:
     })
     # Within a chunk's own block every row has side 0.
     dealt = dealt.drop("_n", "_k", "_c", "_j")
+    if wide is not None:
+        dealt = dealt.join(wide, member)
     return dealt.repartition(key, "ci", "cj").sortWithinPartitions(key, "ci", "cj")
 
 

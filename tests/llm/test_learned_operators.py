@@ -174,6 +174,23 @@ def test_estimates_are_unbiased_and_bounded():
     assert abs(off.mean()) < 0.005 and (np.abs(off) < embeddings.SURE * sd.max()).all()
 
 
+@pytest.mark.parametrize("dims", [1, 2, 7, 64, 300])
+def test_packed_rows_keep_every_pair_that_reaches_the_threshold(dims):
+    rng = np.random.default_rng(dims)
+    x = rng.standard_normal((40, dims))
+    x = np.concatenate([x, x + 0.3 * rng.standard_normal(x.shape), np.eye(dims)[:3]])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = embeddings.Packed(embeddings.packed(x), dims, 0.95)
+    reach = x @ x.T >= 0.95
+    np.fill_diagonal(reach, False)
+    found = rows.block(0, len(x))
+    assert found[reach].all()
+    i, j = np.triu_indices(len(x), 1)
+    assert (rows.pairs(i, j) == found[i, j]).mean() > 0.999 and rows.pairs(i, j)[reach[i, j]].all()
+    if dims >= 64:  # and rule out the rest but for a margin
+        assert not (found & (x @ x.T < 0.92)).any()
+
+
 def test_bands_reach_the_recall():
     bits, bands = embeddings.bands_for(10**6)
     p = (1 - np.arccos(0.95) / np.pi) ** bits
