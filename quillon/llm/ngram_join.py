@@ -148,10 +148,8 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD, target: float =
     """(a, b): edges whose components hold the pairs that share a prefix of the depth for the target recall."""
     prefix = f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(sig, t * {DEPTH} + 1, {depth_for(threshold, target)})))"
     keyed = classes.select("rid", F.explode(F.expr(prefix)).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = keyed.join(shared, "key")
-    with_sig = members.join(classes.select("rid", "sig"), "rid")
-    return cut(in_blocks(with_sig, "key", "rid", SIGNATURE_BLOCK).mapInArrow(_agree(threshold), "a long, b long"))
+    met = in_blocks(keyed, "key", "rid", SIGNATURE_BLOCK, wide=classes.select("rid", "sig"))
+    return cut(met.mapInArrow(_agree(threshold), "a long, b long"))
 
 
 def _sets(docs: DataFrame) -> DataFrame:
