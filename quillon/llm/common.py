@@ -37,28 +37,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
     """df from Parquet in the shared checkpoint folder, which goes when the driver ends.
 
-    Unlike after a checkpoint, nothing refers to the plan any more; the garbage
-    collection lets Spark delete the shuffle files that it left.
+    A table is as large as its files; a checkpoint keeps the size that was
+    estimated for its plan, a product that squares in every round of joins and
+    whose digits soon take longer than the work.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As cut; then a garbage collection, that Spark may delete the shuffle files that nothing refers to any more."""
+    spark, df = df.sparkSession, cut(df)
     try:  # events that still wait hold the plan
         spark._jsc.sc().listenerBus().waitUntilEmpty(5000)
     except Py4JJavaError:
         pass  # a busy bus: the files go with a later collection
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return df
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -322,8 +323,8 @@ def in_blocks(rows: DataFrame, key: str, member: str, block: int, wide: DataFram
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node reachable, for nodes that have an edge.
 
-    Alternating large and small stars over a table of edges, each round cut
-    by a checkpoint. Minima are pre-aggregated before each shuffle, and the
+    Alternating large and small stars over a table of edges, each round written
+    and read again. Minima are pre-aggregated before each shuffle, and the
     edges of a node meet its minimum in SALTS places, as the least node of a
     large component has an edge to each of its members.
     """

@@ -15,7 +15,7 @@ Repeated rows are copies like others. Classes go by a 64-bit hash of their set.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,8 @@ SIGNATURE_BLOCK, SET_BLOCK = 1024, 512
 SLACK = 4.5 * (0.16 / (TREES * DEPTH)) ** 0.5
 #: Rows of ids that may be broadcast, 24 bytes each.
 BROADCAST_ROWS = 1 << 20
+#: Leaders of buckets that may be broadcast, some 230 bytes each.
+LEADERS_BROADCAST = 1 << 16
 
 
 def found_share(similarity: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
@@ -108,48 +110,105 @@ def _signature_matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
+def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Edges [m, 2] of a spanning forest over n rows; near(x, others) flags the others that x links with.
+
+    Rows that are reached are compared no more, so a group of rows that are
+    all near takes n comparisons, not their square.
+    """
+    left, edges = np.arange(n), [np.zeros((0, 2), np.int64)]
+    while len(left) > 1:
+        stack, left = [int(left[0])], left[1:]
+        while stack and len(left):
+            x = stack.pop()
+            hit = near(x, left)
+            reached, left = left[hit], left[~hit]
+            edges.append(np.stack([np.full(len(reached), x), reached], 1))
+            stack += reached.tolist()
+    return np.concatenate(edges)
+
+
+def _alike(threshold: float):
+    """Whether signatures whose bytes are equal where flagged may belong to a pair at the threshold."""
+    return lambda equal: (equal.mean(-1) - 1 / 256) / (1 - 1 / 256) >= threshold - SLACK
+
+
 def _agree(threshold: float):
     """Within blocks of a prefix's members: edges of a spanning forest of the pairs that agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["key", "ci", "cj"]
+        alike = _alike(threshold)
         for t in by_group(batches, keys):
             bounds = group_bounds(t, keys)
             sig, rid, side, cross = _signature_matrix(t.column("sig")), t.column("rid").to_numpy(), t.column("side").to_numpy(), t.column("ci").to_numpy() != t.column("cj").to_numpy()
             size = np.diff(bounds)
-            edges: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def near_enough(equal: np.ndarray) -> np.ndarray:
-                return (equal.mean(1) - 1 / 256) / (1 - 1 / 256) >= threshold - SLACK
-
+            edges = [np.zeros((0, 2), np.int64)]
             two = bounds[:-1][(size == 2) & ~cross[bounds[:-1]]]
             if len(two):
-                ok = near_enough(sig[two] == sig[two + 1])
-                edges.append((rid[two[ok]], rid[two[ok] + 1]))
+                ok = alike(sig[two] == sig[two + 1])
+                edges.append(rid[np.stack([two[ok], two[ok] + 1], 1)])
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if b - a < 2 or (b - a == 2 and not cross[a]):
                     continue
-                s, r = sig[a:b], rid[a:b]
-                near = np.zeros((b - a, b - a), bool)
-                for i in range(b - a):
-                    others = np.flatnonzero(side[a:b] == 1) if cross[a] and side[a + i] == 0 else np.arange(i + 1, b - a) if not cross[a] else np.zeros(0, np.int64)
-                    if len(others):
-                        near[i, others[near_enough(s[others] == s[i])]] = True
-                pairs = np.array(spanning(near | near.T), np.int64).reshape(-1, 2)
-                edges.append((r[pairs[:, 0]], r[pairs[:, 1]]))
-            x = np.concatenate([e[0] for e in edges]) if edges else np.zeros(0, np.int64)
-            y = np.concatenate([e[1] for e in edges]) if edges else np.zeros(0, np.int64)
-            yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+                s, d = sig[a:b], side[a:b]
+
+                def near(x: int, others: np.ndarray, s=s, d=d, across=bool(cross[a])) -> np.ndarray:
+                    hit = d[others] != d[x] if across else np.ones(len(others), bool)
+                    hit[hit] = alike(s[others[hit]] == s[x])
+                    return hit
+
+                edges.append(rid[a + forest(b - a, near)])
+            found = np.concatenate(edges)
+            yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def _beside_leader(threshold: float):
+    """(key, rid, lead, near) of rows that carry sig and their bucket's leader's, lead_sig."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alike = _alike(threshold)
+        for batch in batches:
+            if batch.num_rows:
+                t = pa.Table.from_batches([batch])
+                near = alike(_signature_matrix(t.column("sig")) == _signature_matrix(t.column("lead_sig")))
+                yield pa.record_batch([*[batch.column(k) for k in range(3)], pa.array(near)], names=["key", "rid", "lead", "near"])
 
     return run
 
 
 def candidates(classes: DataFrame, threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:
-    """(a, b): edges whose components hold the pairs that share a prefix of the depth for the target recall."""
+    """(a, b): edges whose components hold the pairs that share a prefix of the depth for the target recall.
+
+    A bucket of at most SIGNATURE_BLOCK rows is one block. Of a larger one all
+    rows are held against its leader, the least; those that agree with it are
+    joined by that, and only the others meet all of the bucket, in blocks. A
+    bucket of near copies is thus read once, whatever its size.
+    """
     prefix = f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(sig, t * {DEPTH} + 1, {depth_for(threshold, target)})))"
     keyed = classes.select("rid", F.explode(F.expr(prefix)).alias("key"))
-    met = in_blocks(keyed, "key", "rid", SIGNATURE_BLOCK, wide=classes.select("rid", "sig"))
-    return cut(met.mapInArrow(_agree(threshold), "a long, b long"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rid").alias("lead")).where("n > 1")
+    shared = cut(keyed.join(sizes, "key"))
+    signed = classes.select("rid", "sig")
+    one = F.lit(0)
+    met = shared.where(F.col("n") <= SIGNATURE_BLOCK).select("rid", "key", one.alias("ci"), one.alias("cj"), one.alias("side"))
+    found = met.join(signed, "rid").repartition("key").sortWithinPartitions("key", "ci", "cj").mapInArrow(_agree(threshold), "a long, b long")
+    large = shared.where(F.col("n") > SIGNATURE_BLOCK)
+    if large.isEmpty():
+        return cut(found)
+    leaders, _ = small_side(cut(large.select("key", "lead").distinct().join(signed.withColumnsRenamed({"rid": "lead", "sig": "lead_sig"}), "lead").drop("lead")), LEADERS_BROADCAST)
+    beside = large.select("key", "rid", "lead").join(signed, "rid").join(leaders, "key")
+    beside = cut(beside.select("key", "rid", "lead", "sig", "lead_sig").mapInArrow(_beside_leader(threshold), "key long, rid long, lead long, near boolean"))
+    chunks = lambda n: F.ceil(n / SIGNATURE_BLOCK).cast("int")
+    rest = beside.groupBy("key").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("rest")).where("rest > 0")
+    dealt = beside.join(rest.select("key", chunks(F.col("rest")).alias("_r"), chunks(F.col("n")).alias("_m")), "key")
+    chunk = lambda k: F.pmod(F.xxhash64("rid", F.lit(17)), F.col(k)).cast("int")
+    members = dealt.select("rid", "key", F.explode(F.expr("sequence(0, _r - 1)")).alias("ci"), (-1 - chunk("_m")).alias("cj"), F.lit(0).alias("side"))
+    others = dealt.where("NOT near").select("rid", "key", chunk("_r").alias("ci"), F.explode(F.expr("sequence(-_m, -1)")).alias("cj"), F.lit(1).alias("side"))
+    met = members.union(others).join(signed, "rid").repartition("key", "ci", "cj").sortWithinPartitions("key", "ci", "cj")
+    return cut(found.union(met.mapInArrow(_agree(threshold), "a long, b long")).union(beside.where("near").select("lead", "rid")))
 
 
 def _sets(docs: DataFrame) -> DataFrame:

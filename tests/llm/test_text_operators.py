@@ -175,6 +175,39 @@ def test_ngram_join_large_group_in_blocks(spark, monkeypatch):
     assert collections.Counter(tuple(r) for r in got.collect()) == join_model(data)
 
 
+def test_ngram_join_chains_in_large_buckets(spark, monkeypatch):
+    """Texts that share most of their words with the next few only, beside near copies: buckets hold rows unlike their leader."""
+    monkeypatch.setattr(ngram_join, "SET_BLOCK", 6)
+    monkeypatch.setattr(ngram_join, "SIGNATURE_BLOCK", 3)
+    data = [(k, " ".join(f"c{i}" for i in range(4 * k, 4 * k + 100)), "", "", 0) for k in range(60)]
+    base = [f"w{i}" for i in range(150)]
+    data += [(100 + k, " ".join([*base[: 5 * k], f"new{k}", *base[5 * k + 1 :]]), "", "", 0) for k in range(20)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    got = ngram_join.join(df).select("k1", "class_id", "n_links")
+    assert collections.Counter(tuple(r) for r in got.collect()) == join_model(data)
+
+
+def test_forest_spans_what_all_pairs_do():
+    rng = np.random.default_rng(3)
+    for n, share in ((1, 0.5), (2, 0.0), (40, 0.02), (60, 0.05), (50, 0.9)):
+        link = np.triu(rng.random((n, n)) < share, 1)
+        link |= link.T
+        asked = []
+        edges = ngram_join.forest(n, lambda x, others: asked.append(len(others)) or link[x, others])
+        assert all(link[x, y] for x, y in edges)
+        names = np.arange(n)
+        for _ in range(n):
+            names = np.array([min([names[k], *names[link[k]]]) for k in range(n)])
+        own = np.arange(n)
+        for _ in range(n):
+            for x, y in edges:
+                own[x] = own[y] = min(own[x], own[y])
+        assert (own == names).all() and len(edges) == n - len(set(names.tolist()))
+    asked = []
+    ngram_join.forest(1000, lambda x, others: asked.append(len(others)) or np.ones(len(others), bool))
+    assert sum(asked) == 999  # near copies are held against one row
+
+
 def test_ngram_join_finds_pairs_at_the_threshold_beside_a_large_group(spark):
     """1000 pairs of Jaccard 0.80 and a group of 250 near copies, of 31,125 pairs."""
     data = []
@@ -467,6 +500,14 @@ def test_mix_meets_targets_and_repeats(spark):
     assert mixed.columns == clashing(spark).columns and mixed.count() > 0
 
 
+def test_parts_of_shards_follow_the_rows(spark, monkeypatch):
+    df = documents(spark, n=300)
+    want = sorted(str(r.doc_id) for r in mixing.shuffled(df).collect())
+    for rows_per_part in (1, 1 << 30):
+        monkeypatch.setattr(mixing, "ROWS_PER_PART", rows_per_part)
+        assert sorted(str(r.doc_id) for r in mixing.shuffled(df).collect()) == want
+
+
 def test_split_tree_is_exact():
     q = np.array([100, 7, 0, 33])
     t = mixing.split_tree(q, 8, np.random.default_rng(1))
