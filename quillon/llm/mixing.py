@@ -30,6 +30,8 @@ SOURCES_BROADCAST = 1 << 16
 #: Blocks of all sources together, beside one per source; what the driver plans with.
 BLOCKS = 1 << 14
 SHARDS = 64
+#: Copies of rows, about, that are put in order together.
+ROWS_PER_PART = 1 << 8
 SEED = 7919
 
 
@@ -148,10 +150,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 
 def shuffled(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each taken copy of a row, shard by shard, each shard in a hashed order."""
+    """The mix itself: each taken copy of a row, shard by shard.
+
+    A shard's copies are dealt by hash to parts of about ROWS_PER_PART, as many
+    as the table's rows ask for, and each part is in a hashed order.
+    """
+    parts = max(1, math.ceil(docs.count() * SHARE / (options.get("shards", SHARDS) * ROWS_PER_PART)))
     out = mix(docs, **options).select("*", F.posexplode("_shards").alias("_copy", "_shard"))
     salt = F.xxhash64("_row", "_copy", F.lit(SEED))
-    out = out.repartition("_shard", F.pmod(salt, F.lit(16))).sortWithinPartitions("_shard", salt)
+    out = out.repartition("_shard", F.pmod(salt, F.lit(parts))).sortWithinPartitions("_shard", salt)
     return out.select("row.*")
 
 

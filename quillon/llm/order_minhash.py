@@ -27,6 +27,8 @@ from quillon.llm.common import cut, table
 K, TUPLE = 2, 2
 #: Slots of a fingerprint, as a power of two.
 SLOT_BITS = 6
+#: Most buckets of rows that follow each other; tables of more than MOST_BUCKETS x 1024 rows have larger buckets.
+MOST_BUCKETS = 1 << 16
 #: Low bits that carry a position while hashes are sorted.
 AT_BITS = 26
 EMPTY_SLOT = "--------"
@@ -112,7 +114,7 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(rows: DataFrame, order: str, carried: list[str], rows_per_bucket: int = 1024, prefix: str = "next_") -> DataFrame:
     """rows with `carried` columns of the next row by descending `order` (nulls last; after the last row, the first's).
 
-    Rows are dealt by ranges of `order` to at most 4096 buckets; the first row
+    Rows are dealt by ranges of `order` to at most MOST_BUCKETS buckets; the first row
     of each bucket is also sent, as a guest, to the bucket before it. Only the
     bounds and first rows of the buckets (ids, no texts) pass the driver. Rows
     that tie in `order` follow each other by a hash of what they carry.
@@ -121,9 +123,9 @@ def with_next(rows: DataFrame, order: str, carried: list[str], rows_per_bucket:
     tie = F.xxhash64(F.col(carried[0]).isNull(), F.col(carried[0]))
     ids = cut(rows.select(place.alias("_place"), tie.alias("_tie")))
     n = ids.count()
-    buckets = max(1, min(4096, n // rows_per_bucket))
+    buckets = max(1, min(MOST_BUCKETS, n // rows_per_bucket))
     side = max(1, round(buckets**0.5))
-    bounds = sorted(set(map(int, ids.approxQuantile("_place", [i / (side * side) for i in range(1, side * side)], 1 / (4 * side * side))))) if n and side > 1 else []
+    bounds = sorted(set(map(int, ids.approxQuantile("_place", [i / (side * side) for i in range(1, side * side)], 1 / (2 * side * side))))) if n and side > 1 else []
     if bounds:
         coarse = bounds[side - 1 :: side]
         fine = [bounds[i : i + side - 1] for i in range(0, len(bounds), side)]
@@ -131,11 +133,11 @@ def with_next(rows: DataFrame, order: str, carried: list[str], rows_per_bucket:
         longs = lambda xs: "array(" + ",".join(f"{x}L" if x > -(2**63) else "-9223372036854775807L - 1" for x in xs) + ")" if xs else "cast(array() AS array<bigint>)"
         top = F.size(F.filter(F.expr(longs(coarse)), lambda x: x < F.col("_place")))
         nested = F.expr("array(" + ",".join(longs(x) for x in fine) + ")")
-        bucket = bind(top, lambda t: t * 4096 + F.size(F.filter(F.get(nested, t), lambda x: x < F.col("_place"))))
+        bucket = bind(top, lambda t: t * MOST_BUCKETS + F.size(F.filter(F.get(nested, t), lambda x: x < F.col("_place"))))
     else:
         bucket = F.lit(0)
     firsts = ids.withColumn("_bucket", bucket).groupBy("_bucket").agg(F.max(F.struct("_place", (-F.col("_tie").cast("decimal(20,0)")).alias("t"), "_tie")).alias("f"))
-    firsts = sorted(firsts.select("_bucket", "f._place", "f._tie").collect(), reverse=True)  # a row per bucket, at most 4096
+    firsts = sorted(firsts.select("_bucket", "f._place", "f._tie").collect(), reverse=True)  # a row per bucket
     guests = [(f._place, f._tie, firsts[i - 1]._bucket) for i, f in enumerate(firsts)]
     guests = rows.sparkSession.createDataFrame(guests, "_place long, _tie long, _host int").hint("broadcast")
     keyed = rows.select(F.struct("*").alias("row"), place.alias("_place"), tie.alias("_tie")).withColumn("_bucket", bucket)
