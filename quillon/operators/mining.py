@@ -13,22 +13,26 @@ expressions would have to count anew.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.symbols import FIRST_RULE, GAP, GAP_AT, char_of, chars, symbol_of
-from quillon.plans.lineage import cut, importable
+from quillon.plans.lineage import importable, shared_folder
 
-#: Stands between the samples of a batch; symbols are below 2^21, as code points are.
-_END = 0xFFFFFFFF
+#: Symbols are below 2^21, as code points are.
 _SHIFT = 32
-#: Symbols that the driver guesses from.
-SAMPLE = 1 << 17
+#: Symbols that the driver guesses from, and rules guessed beyond those that are asked for.
+SAMPLE, SPARE = 1 << 22, 16
+#: Symbols that are worked on at a time, and numbers of symbols up to which counts are plain arrays.
+CHUNK, DENSE = 1 << 18, 1 << 10
+#: Rules replayed, over all passes, before samples are written anew.
+REPLAYED = 384
 
 
 @dataclass(frozen=True)
@@ -114,165 +118,352 @@ def apply_rules(z: Column, rules: list[Rule], known: Column | None = None) -> Co
     return F.aggregate(table, z, lambda acc, r: F.replace(acc, r["pair"], r["to"]))
 
 
-def _coded(samples: DataFrame) -> DataFrame:
-    """(s): samples as four bytes a symbol, for numpy."""
+def _laid_out(samples: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, places between samples): all samples one after the other, with a place before, between and behind them."""
+    text = "\0".join(["", *samples, ""])
+    ends = np.cumsum(np.fromiter((len(z) + 1 for z in ["", *samples]), np.int64, len(samples) + 1)) - 1
+    raw = text.encode("utf-16-le")
+    z = np.frombuffer(raw, "<u2") if len(raw) == 2 * len(text) else np.frombuffer(text.encode("utf-32-le"), "<u4")
+    return (np.where(z < GAP_AT, z, z - GAP) if z.max() >= GAP_AT else z), ends
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whole samples, about CHUNK symbols at a time."""
+    for batch in batches:
+        some, size = [], 0
+        for z in batch.column(0).to_pylist():
+            some.append(z)
+            size += len(z)
+            if size >= CHUNK:
+                yield _laid_out(some)
+                some, size = [], 0
+        if some:
+            yield _laid_out(some)
+
+
+class _Line:
+    """Samples one after the other, parted by `end`, as a linked list.
+
+    Symbols stay where they are; a replaced pair leaves a hole at its second
+    place. A symbol's places are found once, so a rule takes time by the places
+    of its left symbol, not by the symbols in all. All symbols are
+    below `end`.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = (np.frombuffer(z.encode("utf-32-le"), "<u4") for z in batch.column(0).to_pylist())
-            yield pa.record_batch([pa.array([np.where(c < GAP_AT, c, c - GAP).astype("<u4").tobytes() for c in codes], pa.binary())], names=["s"])
+    def __init__(self, z: np.ndarray, ends: np.ndarray, end: int):
+        self.z = z.astype(np.uint16 if end + 1 < 1 << 16 else np.uint32)
+        self.z[ends] = end
+        kind = np.int32 if len(z) < 1 << 31 else np.int64
+        self.after, self.before = np.arange(1, len(z) + 1, dtype=kind), np.arange(-1, len(z) - 1, dtype=kind)
+        self.end, self.places = end, {}
+        if self.z.dtype == np.uint16:  # sorted in time in proportion
+            order, first = np.argsort(self.z, kind="stable"), np.append(0, np.cumsum(np.bincount(self.z)))
+            self.places = {k: order[first[k] : first[k + 1]] for k in np.flatnonzero(np.diff(first)).tolist()}
+
+    def replace(self, left: int, right: int, symbol: int, tell: bool = True) -> tuple[int, int, np.ndarray, np.ndarray] | None:
+        """Replace a pair from left to right: (places, places that follow one another, symbols left of places, right of places).
+
+        Where places follow one another, neither is the other's neighbour.
+        """
+        at = self.places.get(left)
+        if at is None:
+            at = self.places[left] = np.flatnonzero(self.z == left)
+        second = self.after[at]
+        ok = np.flatnonzero(self.z[second] == right)
+        ok = ok[self.z[at[ok]] == left]  # other rules may have taken some of the places
+        hit, second = at[ok], second[ok]
+        if 8 * len(hit) > len(at):
+            self.places[left] = at[self.z[at] == left] if left == right else np.delete(at, ok)
+        if left == right and len(hit):  # in a run of equal symbols every other place
+            start = np.flatnonzero(np.append(True, second[:-1] != hit[1:]))
+            odd = (np.arange(len(hit)) - np.repeat(start, np.diff(np.append(start, len(hit))))) % 2 == 0
+            hit, second = hit[odd], second[odd]
+        follow = self.after[second]
+        out = None
+        if tell:
+            apart = follow[:-1] != hit[1:]
+            before, behind = self.before[hit], follow
+            if not apart.all():
+                before, behind = before[np.append(True, apart)], behind[np.append(apart, True)]
+            out = len(hit), len(hit) - len(behind), self.z[before], self.z[behind]
+        self.z[hit] = symbol
+        self.z[second] = self.end + 1
+        self.after[hit] = follow
+        self.before[follow] = hit
+        if symbol in self.places:
+            self.places[symbol] = np.union1d(self.places[symbol], hit)
+        elif self.z.dtype == np.uint16:  # else they are looked for when they are needed
+            self.places[symbol] = hit
+        return out
 
-    return samples.select("z").where(F.length("z") > 1).mapInArrow(run, "s binary")
+    def samples(self) -> list[str]:
+        z = self.z[self.z <= self.end].astype(np.uint32)
+        ends = np.flatnonzero(z == self.end)
+        z[ends] = 0
+        text = np.where(z < GAP_AT, z, z + GAP).astype("<u4").tobytes().decode("utf-32-le")
+        return [text[a + 1 : b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-def _laid_out(column: pa.Array) -> np.ndarray:
-    """All samples of a batch, one after the other, parted by _END."""
-    end = np.array([_END], "<u4").tobytes()
-    return np.frombuffer(end.join(column.to_pylist()), "<u4")
+@dataclass(frozen=True)
+class Change:
+    """What a rule does to the counts of pairs."""
 
+    hits: int
+    pairs: np.ndarray
+    n: np.ndarray
 
-def _keys(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The pairs that begin at the given places, without those that reach beyond a sample."""
-    a, b = z[at], z[at + 1]
-    ok = (a != _END) & (b != _END)
-    return a[ok].astype(np.int64) << _SHIFT | b[ok]
+    @classmethod
+    def of(cls, rule: Rule, end: int, hits: int, joins: int, lefts: tuple[np.ndarray, np.ndarray], rights: tuple[np.ndarray, np.ndarray]) -> Change:
+        """From the places, those that follow one another, and how often which symbol stands left and right of places."""
+        (u, lefts), (v, rights) = ((s[s != end].astype(np.int64), n[s != end].astype(np.int64)) for s, n in (lefts, rights))
+        one = lambda a, b: np.array([a << _SHIFT | b], np.int64)
+        pairs = [u << _SHIFT | rule.left, u << _SHIFT | rule.id, rule.right << _SHIFT | v, rule.id << _SHIFT | v, one(rule.right, rule.left), one(rule.id, rule.id), one(rule.left, rule.right)]
+        return cls(hits, np.concatenate(pairs), np.concatenate([-lefts, lefts, -rights, rights, [-joins], [joins], [-hits]]))
 
 
-def _replaced(z: np.ndarray, left: int, right: int, symbol: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """z with the pair replaced from left to right, and (pairs, changes of their counts)."""
-    hit = np.flatnonzero(z[:-1] == left)
-    hit = hit[z[hit + 1] == right]
-    if left == right and len(hit):  # in a run of equal symbols every other place
-        start = np.flatnonzero(np.diff(hit, prepend=-2) != 1)
-        hit = hit[(np.arange(len(hit)) - np.repeat(start, np.diff(np.append(start, len(hit))))) % 2 == 0]
-    if not len(hit):
-        return z, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    near = lambda at, steps, n: np.unique(np.concatenate([x[(x >= 0) & (x < n - 1)] for x in (at + k for k in steps)]))
-    old = _keys(z, near(hit, (-1, 0, 1), len(z)))
-    out = np.delete(z, hit + 1)
-    out[hit - np.arange(len(hit))] = symbol
-    new = _keys(out, near(hit - np.arange(len(hit)), (-1, 0), len(out)))
-    pairs, place = np.unique(np.concatenate([old, new]), return_inverse=True)
-    change = np.bincount(place, np.concatenate([-np.ones(len(old)), np.ones(len(new))]), len(pairs)).astype(np.int64)
-    return out, pairs, change
+def _stored(samples: DataFrame) -> tuple[DataFrame, str]:
+    """(z) of the samples that have pairs, from a table in the session's shared folder, and its path."""
+    path = f"{shared_folder(samples.sparkSession)}/{uuid.uuid4().hex}"
+    samples.select("z").where(F.length("z") > 1).write.option("compression", "zstd").parquet(path)
+    return samples.sparkSession.read.schema("z string").parquet(path), path
 
 
-def _changes(coded: DataFrame, done: list[Rule], ahead: list[Rule]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(pairs, changes of their counts) by each rule of `ahead`, after those of `done` and the ones before it; without any, all counts."""
+def _drop(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _counted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, counts) of all samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+        total = np.zeros((0, 0), np.int64)
+        for z, ends in _chunks(batches):
+            base = int(z.max()) + 2
+            z = z.astype(np.int64)
+            z[ends] = base - 1
+            keys = z[:-1] * base + z[1:]
+            if base <= DENSE:
+                n = np.bincount(keys, minlength=base * base).reshape(base, base)[:-1, :-1]
+                if len(n) > len(total):
+                    n[: len(total), : len(total)] += total
+                    total = n.copy()
+                else:
+                    total[: len(n), : len(n)] += n
                 continue
-            z = _laid_out(batch.column(0))
+            keys, n = np.unique(keys, return_counts=True)
+            left, right = keys // base, keys % base
+            ok = (left != base - 1) & (right != base - 1)
+            yield pa.record_batch([pa.array((left << _SHIFT | right)[ok]), pa.array(n[ok])], names=["pair", "n"])
+        left, right = np.nonzero(total)
+        yield pa.record_batch([pa.array(left << _SHIFT | right), pa.array(total[left, right])], names=["pair", "n"])
+
+    got = table.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    return got.column("pair").to_numpy(), got.column("n").to_numpy()
+
+
+def _changes(table: DataFrame, done: list[Rule], ahead: list[Rule], end: int) -> list[Change]:
+    """What each rule of `ahead` changes, after those of `done` and the ones before it. All symbols are below `end`."""
+    names = ["step", "side", "symbol", "n"]
+
+    def rows(step, side, symbol, n) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.asarray(x), t) for x, t in zip((step, side, symbol, n), (pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = end < DENSE
+        near = np.zeros((len(ahead), 2, end + 1 if dense else 0), np.int64)
+        own = np.zeros((len(ahead), 2), np.int64)
+        for z, ends in _chunks(batches):
+            line = _Line(z, ends, end)
             for r in done:
-                z = _replaced(z, r.left, r.right, r.id)[0]
-            if not ahead:
-                pairs, n = np.unique(_keys(z, np.arange(len(z) - 1)), return_counts=True)
-                yield pa.record_batch([pa.array(np.zeros(len(pairs), np.int32)), pa.array(pairs), pa.array(n)], names=["step", "pair", "n"])
+                line.replace(r.left, r.right, r.id, tell=False)
             for k, r in enumerate(ahead):
-                z, pairs, n = _replaced(z, r.left, r.right, r.id)
-                yield pa.record_batch([pa.array(np.full(len(pairs), k, np.int32)), pa.array(pairs), pa.array(n)], names=["step", "pair", "n"])
-
-    got = coded.mapInArrow(run, "step int, pair long, n long").groupBy("step", "pair").agg(F.sum("n").alias("n")).where("n <> 0").toArrow()
-    step, pair, n = (got.column(c).to_numpy() for c in ("step", "pair", "n"))
-    return [(pair[step == k], n[step == k]) for k in range(max(len(ahead), 1))]
+                hits, joins, *sides = line.replace(r.left, r.right, r.id)
+                own[k] += hits, joins
+                for side, symbols in enumerate(sides):
+                    if dense:
+                        near[k, side] += np.bincount(symbols, minlength=end + 1)
+                    elif len(symbols):
+                        symbols, n = np.unique(symbols, return_counts=True)
+                        yield rows(np.full(len(n), k), np.full(len(n), side), symbols, n)
+        yield rows(*np.nonzero(near), near[near != 0])
+        step, side = np.nonzero(own)
+        yield rows(step, side + 2, np.zeros(len(step)), own[step, side])
+
+    got = table.mapInArrow(run, "step int, side int, symbol long, n long").groupBy("step", "side", "symbol").agg(F.sum("n").alias("n")).toArrow()
+    step, side, symbol, n = (got.column(c).to_numpy() for c in names)
+    at = lambda k, s: (step == k) & (side == s)
+    return [Change.of(r, end, int(n[at(k, 2)].sum()), int(n[at(k, 3)].sum()), *((symbol[at(k, s)], n[at(k, s)]) for s in (0, 1))) for k, r in enumerate(ahead)]
 
 
 class Counts:
     """Counts of all pairs, on the driver: as many rows as distinct pairs, at most the square of the number of symbols, whatever the samples."""
 
-    def __init__(self):
+    def __init__(self, pairs: np.ndarray = (), n: np.ndarray = ()):
         self.pairs, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(pairs):
+            self.pairs, place = np.unique(pairs, return_inverse=True)
+            total = np.zeros(len(self.pairs), np.int64)
+            np.add.at(total, place, n)
+            self.pairs, self.n = self.pairs[total > 0], total[total > 0]
+
+    def plus(self, pairs: np.ndarray, n: np.ndarray) -> Counts:
+        return Counts(np.concatenate([self.pairs, pairs]), np.concatenate([self.n, n]))
+
+    def sides(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.pairs >> _SHIFT, self.pairs & ((1 << _SHIFT) - 1)
+
+    def without(self, rule: Rule, hits: int) -> Counts:
+        """The counts with a rule's symbol written out as its pair again."""
+        left, right = self.sides()
+        pairs = np.where(left == rule.id, rule.right, left) << _SHIFT | np.where(right == rule.id, rule.left, right)
+        return Counts(pairs, self.n).plus(np.array([rule.left << _SHIFT | rule.right], np.int64), np.array([hits], np.int64))
+
+    def named(self, names: dict[int, int]) -> Counts:
+        """The counts with other numbers for some symbols."""
+        if all(k == v for k, v in names.items()):
+            return self
+        known = np.array(sorted(names), np.int64)
+        to = np.array([names[k] for k in sorted(names)], np.int64)
+
+        def of(side: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(known, side), len(known) - 1)
+            return np.where(known[at] == side, to[at], side)
+
+        left, right = self.sides()
+        return Counts(of(left) << _SHIFT | of(right), self.n)
+
+    def best(self, gate: Gate) -> tuple[int, int, int] | None:
+        """(left, right, count) of the passing pair of the highest score, ties to the smaller pair."""
+        if not len(self.n):
+            return None
+        left, right = self.sides()
+        n, total = self.n.astype(np.float64), float(self.n.sum())
+        lift = n / (np.bincount(left, n)[left] * np.bincount(right, n)[right] / total)
+        ok = (self.n >= gate.min_frequency) & (n / total >= gate.min_support) & (lift >= gate.min_lift)
+        if not ok.any():
+            return None
+        k = int(np.argmax(np.where(ok, n * lift, -1.0)))  # pairs are in order
+        return int(left[k]), int(right[k]), int(self.n[k])
+
+
+def _some(table: DataFrame, symbols: int) -> list[str]:
+    """Pieces of samples spread over the table, SAMPLE symbols or so in all, four times that at most; or all samples."""
+    share = min(1.0, SAMPLE / max(symbols, 1))
+    if share == 1:
+        return [r.z for r in table.collect()]
+    within = max(share, 1 / 16)
+    rows = max(table.count() * share / within, 1)
+    long = F.least(F.ceil(F.length("z") * within), F.lit(int(4 * SAMPLE / rows) + 64)).cast("int")
+    start = F.pmod(F.xxhash64("z"), F.greatest(F.length("z") - long, F.lit(0)) + 1).cast("int")
+    picked = table.sample(False, share / within, 7) if share < within else table
+    return [r.z for r in picked.select(F.substring("z", start + 1, long).alias("z")).collect()]
+
+
+def _mine(samples: DataFrame, first_id: int, budget: int, gate: Gate) -> list[Rule]:
+    """Up to `budget` rules numbered from first_id, each of the samples as the earlier ones left them.
 
-    def add(self, pairs: np.ndarray, n: np.ndarray) -> None:
-        self.pairs, place = np.unique(np.concatenate([self.pairs, pairs]), return_inverse=True)
-        total = np.zeros(len(self.pairs), np.int64)
-        np.add.at(total, place, np.concatenate([self.n, n]))
-        self.pairs, self.n = self.pairs[total > 0], total[total > 0]
-
-    def copy(self) -> Counts:
-        out = Counts()
-        out.pairs, out.n = self.pairs, self.n
-        return out
+    Pairs are counted once; each later pass brings the changes that guessed
+    rules make, each after the ones before it, from which _kept finds out which
+    of them are the best pairs in turn. Guesses decide how many passes there
+    are, not what is found. They come from mining on, on the driver, in some
+    of the symbols. A pass replays the rules that earlier ones found; from time
+    to time the samples are written anew, shorter.
+    """
+    if budget < 1:
+        return []
+    spark = samples.sparkSession
+    importable(spark)
+    table, path = _stored(samples)
+    try:
+        counts = Counts(*_counted(table))
+        if not len(counts.n):
+            return []
+        highest = int(max(x.max() for x in counts.sides()))
+        some = _some(table, int(counts.n.sum()) + table.count())
+        done, found, replayed, ahead = [], [], 0, budget + SPARE
+        while len(found) < budget:
+            guess, end = _guesses(counts, some, found, gate, first_id + len(found), min(ahead, budget - len(found) + SPARE), highest)
+            if not guess:
+                break
+            new, counts = _kept(counts, guess, _changes(table, done, guess, end), gate, budget - len(found), highest < first_id)
+            found += new
+            done += new
+            ahead = max(3 * len(new), 16)
+            replayed += len(done)
+            if replayed >= REPLAYED and len(found) < budget:
+                old, (table, path) = path, _stored(_rewritten(table, done, max(highest, first_id + len(found) - 1) + 1))
+                _drop(spark, old)
+                done, replayed = [], 0
+        return found
+    finally:
+        _drop(spark, path)
+
+
+def _guesses(counts: Counts, some: list[str], found: list[Rule], gate: Gate, next_id: int, most: int, highest: int) -> tuple[list[Rule], int]:
+    """The next rules, the first one surely, the others by what they change in some of the symbols; and a number above all symbols."""
+    end, out = max(highest + 1, next_id + most), []
+    line = _Line(*_laid_out(some), end)
+    pairs = len(line.z) - 2 * len(some) - 1
+    for r in found:
+        pairs -= line.replace(r.left, r.right, r.id)[0]
+    share = float(counts.n.sum()) / max(pairs, 1)
+    while len(out) < most and (best := counts.best(gate)):
+        rule = Rule(next_id + len(out), *best)
+        out.append(rule)
+        hits, joins, *sides = line.replace(rule.left, rule.right, rule.id)
+        change = Change.of(rule, end, hits, joins, *(np.unique(s, return_counts=True) for s in sides))
+        counts = counts.plus(change.pairs, np.rint(change.n * share).astype(np.int64))
+        gone = counts.pairs != (rule.left << _SHIFT | rule.right)
+        counts = Counts(counts.pairs[gone], counts.n[gone])
+    return out, end
 
-    def drop(self, pair: int) -> None:
-        self.pairs, self.n = self.pairs[self.pairs != pair], self.n[self.pairs != pair]
 
-    def ranked(self, gate: Gate) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(left, right, count) of the passing pairs, the best first, ties to the smaller pair."""
-        left, right = self.pairs >> _SHIFT, self.pairs & ((1 << _SHIFT) - 1)
-        n, total = self.n.astype(np.float64), float(self.n.sum())
-        of = lambda side: np.bincount(np.unique(side, return_inverse=True)[1], n)[np.unique(side, return_inverse=True)[1]]
-        lift = n / (of(left) * of(right) / total) if len(n) else n
-        ok = np.flatnonzero((self.n >= gate.min_frequency) & (n / max(total, 1.0) >= gate.min_support) & (lift >= gate.min_lift))
-        order = ok[np.lexsort((right[ok], left[ok], -(n * lift)[ok]))]
-        return left[order], right[order], self.n[order]
+def _apart(early: Rule, late: Rule) -> bool:
+    """Whether two rules, of which the first does not use the second, do the same to any samples in either order."""
+    return early.id not in (late.left, late.right) and early.right != late.left and early.left != late.right
 
 
-def _mine(samples: DataFrame, first_id: int, budget: int, gate: Gate, ahead: int = 8, cut_every: int = 24) -> list[Rule]:
-    """Up to `budget` rules numbered from first_id, each of the samples as the earlier ones left them.
+def _kept(counts: Counts, guess: list[Rule], changes: list[Change], gate: Gate, budget: int, fresh: bool) -> tuple[list[Rule], Counts]:
+    """(the best pairs in turn as far as the guesses tell, the counts after them), numbered anew in their order.
 
-    Pairs are counted once; each later pass brings only the changes that some
-    rules make, guessed to be the best ones in turn. The first that is not the
-    best pair by the counts as changed ends the pass, and it and the rest are
-    dropped, so guesses decide how many passes there are, not what is found.
-    They come from mining on, on the driver, in SAMPLE symbols at most. Every
-    cut_every rules the rewritten samples are checkpointed, shorter.
+    `changes` hold for the guesses in their order. A guess that is not the best
+    pair in its turn is left out for now: the counts without it are those with
+    its symbol written out again, if every later guess that is taken before it
+    does the same before it as after it. Where one does not, or the best pair is no
+    guess, this ends. fresh: no guess's symbol is in the samples.
     """
-    importable(samples.sparkSession)
-    coded, done, found, counts = cut(_coded(samples)), [], [], Counts()
-    counts.add(*_changes(coded, [], [])[0])
-    some = _laid_out(pa.array([x.s[: 4 * SAMPLE // 64] for x in coded.limit(64).collect()], pa.binary()))
-    while len(found) < budget:
-        guess = _guesses(counts, some, gate, first_id + len(found), min(ahead, budget - len(found)))
-        if not guess:
+    after, skipped, taken, names = counts, [], [], {}
+    index = {(r.left, r.right): k for k, r in enumerate(guess)}
+    reach, now = 0, counts  # guesses whose changes are in `after`; what is left of it without the skipped ones
+    while len(taken) < budget and (best := now.named(names).best(gate)):
+        numbers = {v: k for k, v in names.items()}
+        k = index.get((numbers.get(best[0], best[0]), numbers.get(best[1], best[1])))
+        if k is None or k < reach and k not in skipped:
             break
-        known = len(found)
-        for rule, change in zip(guess, _changes(coded, done, guess), strict=True):
-            left, other, n = counts.ranked(gate)
-            if not len(left) or (left[0], other[0]) != (rule.left, rule.right):
-                break
-            rule = Rule(rule.id, rule.left, rule.right, int(n[0]))
-            found.append(rule)
-            done.append(rule)
-            counts.add(*change)
-            some = _replaced(some, rule.left, rule.right, rule.id)[0]
-        right = len(found) - known
-        ahead = min(2 * ahead, 64) if right == len(guess) else max(ahead // 2, 4) if 2 * right < len(guess) else ahead
-        if len(done) >= cut_every and len(found) < budget:
-            coded, done = cut(_rewritten(coded, done)), []
-    return found
-
-
-def _guesses(counts: Counts, some: np.ndarray, gate: Gate, next_id: int, most: int) -> list[Rule]:
-    """The next rules, the first one surely, the others by what they change in some of the symbols."""
-    likely, out = counts.copy(), []
-    share = max(float(counts.n.sum()), 1.0) / max(len(some), 1)
-    for k in range(most):
-        left, right, n = likely.ranked(gate)
-        if not len(left):
+        left_out = [s for s in [*skipped, *range(reach, k)] if s != k]
+        if not all(fresh and _apart(guess[s], guess[k]) for s in left_out if s < k):
             break
-        rule = Rule(next_id + k, int(left[0]), int(right[0]), int(n[0]))
-        out.append(rule)
-        some, pairs, change = _replaced(some, rule.left, rule.right, rule.id)
-        likely.add(pairs, np.rint(change * share).astype(np.int64))
-        likely.drop(rule.left << _SHIFT | rule.right)
-    return out
-
-
-def _rewritten(coded: DataFrame, rules: list[Rule]) -> DataFrame:
+        for s in range(reach, k + 1):
+            after = after.plus(changes[s].pairs, changes[s].n)
+        reach, skipped = max(reach, k + 1), left_out
+        names[guess[k].id] = guess[0].id + len(taken)
+        taken.append(Rule(guess[0].id + len(taken), *best))
+        now = after
+        for s in reversed(skipped):
+            now = now.without(guess[s], changes[s].hits)
+    return taken, now.named(names)
+
+
+def _rewritten(table: DataFrame, rules: list[Rule], end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            z = _laid_out(batch.column(0))
+        for z, ends in _chunks(batches):
+            line = _Line(z, ends, end)
             for r in rules:
-                z = _replaced(z, r.left, r.right, r.id)[0]
-            parts = np.split(z, np.flatnonzero(z == _END))
-            yield pa.record_batch([pa.array([(x[1:] if k else x).astype("<u4").tobytes() for k, x in enumerate(parts)], pa.binary())], names=["s"])
+                line.replace(r.left, r.right, r.id, tell=False)
+            yield pa.record_batch([pa.array(line.samples(), pa.string())], names=["z"])
 
-    return coded.mapInArrow(run, "s binary").where(F.length("s") > 4)
+    return table.mapInArrow(run, "z string")
 
 
 def train(samples: DataFrame, max_rules: int = 256, gate: Gate = Gate()) -> list[Rule]:

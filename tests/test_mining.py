@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -38,6 +41,78 @@ def test_train_long_loop_cuts_lineage(spark):
     assert as_tuples(mining.train(samples(spark, datas), 30, Gate(3, 1.2, 0.001))) == mine(datas, 256, 30, Gate(3, 1.2, 0.001))
 
 
+def prose(words=6000, seed=5):
+    """Invented text of 400 words, the first ones the most common."""
+    draw = random.Random(seed)
+    known = ["".join(draw.choices("etaoinshrdlu", k=draw.randint(1, 7))) for _ in range(400)]
+    weights = [1 / (k + 1) for k in range(400)]
+    return [" ".join(draw.choices(known, weights, k=words // 20)).encode() for _ in range(20)]
+
+
+def test_consolidate_takes_few_passes(spark, monkeypatch):
+    datas, gate, real, passes = prose(), Gate(4, 1.5, 0.001), mining._changes, []
+    rules = [Rule(*r) for r in mine(datas, 256, 4, gate)]
+    trails = encoding.encode(samples(spark, datas), rules).select(F.col("encoded").alias("z"))
+    monkeypatch.setattr(mining, "SAMPLE", 1 << 12)
+    monkeypatch.setattr(mining, "_changes", lambda *a: passes.append(1) or real(*a))
+    got = as_tuples(mining.consolidate(trails, rules, 32, gate)[4:])
+    assert got == mine([encode(x, as_tuples(rules)) for x in datas], 260, 32, gate) and len(got) == 32
+    assert len(passes) <= 6
+
+
+@pytest.mark.parametrize("dense", [1, 1 << 10])
+def test_train_by_poor_guesses_writes_samples_anew(spark, monkeypatch, dense):
+    datas, gate = [*prose(600), bytes(700), b"ABABABA" * 9], Gate(4, 1.2, 0.001)
+    for name, value in (("SAMPLE", 60), ("CHUNK", 500), ("REPLAYED", 20), ("DENSE", dense)):
+        monkeypatch.setattr(mining, name, value)
+    assert as_tuples(mining.train(samples(spark, datas), 40, gate)) == mine(datas, 256, 40, gate)
+
+
+def test_train_on_large_symbols_and_on_the_rules_own_numbers(spark):
+    sequences = [[5, 70000, 0xD7FF, 0xD800, 5, 70000, 0xD800, 0xD800, 0xD800, 256, 257, 256, 257] * 3, [256, 256, 5, 5, 70000, 257] * 5, [9]]
+    z = spark.createDataFrame([(s,) for s in sequences], "t array<long>").select(from_trail(F.col("t")).alias("z"))
+    for first in (70001, 256):
+        got = as_tuples(mining._mine(z, first, 12, Gate()))
+        assert got == mine(sequences, first, 12, Gate())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ABCD", max_size=60), min_size=1, max_size=5), st.randoms(use_true_random=False))
+def test_guesses_in_any_order_give_only_right_rules(texts, draw):
+    datas, gate = [t.encode("latin-1") for t in texts if len(t) > 1], Gate(1, 0.0, 0.0)
+    truth = [Rule(*r) for r in mine(datas, 256, 8, gate)]
+    if not truth:
+        return
+    order = []
+    while len(order) < len(truth):  # a guess uses earlier ones only
+        order.append(draw.choice([k for k, r in enumerate(truth) if k not in order and all(s < 256 or s - 256 in order for s in (r.left, r.right))]))
+    new = {256 + k: 256 + at for at, k in enumerate(order)}
+    guess = [Rule(new[truth[k].id], new.get(truth[k].left, truth[k].left), new.get(truth[k].right, truth[k].right), 0) for k in order]
+    end = 300
+
+    def line():
+        z, ends = mining._laid_out([t for t in texts if len(t) > 1])
+        return mining._Line(z, ends, end)
+
+    def counted(line):
+        z = line.z[line.z <= end].astype(int)
+        pairs = [(a << 32) | b for a, b in zip(z.tolist(), z[1:].tolist()) if end not in (a, b)]
+        return mining.Counts(np.array(pairs, np.int64), np.ones(len(pairs), np.int64))
+
+    work, changes, start = line(), [], counted(line())
+    for r in guess:
+        hits, joins, *sides = work.replace(r.left, r.right, r.id)
+        changes.append(mining.Change.of(r, end, hits, joins, *(np.unique(s, return_counts=True) for s in sides)))
+    taken, after = mining._kept(start, guess, changes, gate, len(truth), True)
+    assert taken == truth[: len(taken)]
+    assert order[0] != 0 or taken
+    expected = line()
+    for r in taken:
+        expected.replace(r.left, r.right, r.id)
+    expected = counted(expected)
+    assert after.pairs.tolist() == expected.pairs.tolist() and after.n.tolist() == expected.n.tolist()
+
+
 def test_consolidate_appends_and_may_repeat_a_pair(spark):
     rules = [Rule(256, 65, 66, 9)]
     raw = samples(spark, [b"ABABABAB"]).select("z")
