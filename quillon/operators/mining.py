@@ -352,8 +352,9 @@ def _some(table: DataFrame, symbols: int) -> list[str]:
     share = min(1.0, SAMPLE / max(symbols, 1))
     if share == 1:
         return [r.z for r in table.collect()]
-    within = max(share, 1 / 16)
-    rows = max(table.count() * share / within, 1)
+    rows = table.count()
+    within = max(share, 1 / 16) if 16 * share * rows >= 1024 else share  # of few samples, a piece of each
+    rows = max(rows * share / within, 1)
     long = F.least(F.ceil(F.length("z") * within), F.lit(int(4 * SAMPLE / rows) + 64)).cast("int")
     start = F.pmod(F.xxhash64("z"), F.greatest(F.length("z") - long, F.lit(0)) + 1).cast("int")
     picked = table.sample(False, share / within, 7) if share < within else table

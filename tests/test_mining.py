@@ -86,6 +86,12 @@ def test_train_on_large_symbols_and_on_the_rules_own_numbers(spark):
         assert got == mine(sequences, first, 12, Gate())
 
 
+def test_guesses_come_from_few_long_samples_too(spark, monkeypatch):
+    monkeypatch.setattr(mining, "SAMPLE", 1000)
+    z = samples(spark, [b"ABCDEFGH" * 5000]).select("z")
+    assert 500 <= sum(map(len, mining._some(z, 40000))) <= 4064
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ABCD", max_size=60), min_size=1, max_size=5), st.randoms(use_true_random=False))
 def test_guesses_in_any_order_give_only_right_rules(texts, draw):
